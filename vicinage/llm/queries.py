@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import quality_rules, url_filter
 
 _ALL = {
+    "op4_quality_rules": quality_rules,
     "op9_url_filter": url_filter,
 }
 QUERIES = {name: module.query for name, module in _ALL.items()}
