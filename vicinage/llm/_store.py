@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +64,20 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ids(docs: DataFrame) -> DataFrame:
     """The rows that take part: those with a ``doc_id``."""
     return docs.where(F.col("doc_id").isNotNull())
+
+
+_shipped: set[str] = set()
+
+
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow``, after this package has been sent to the executors once for each application."""
+    context = df.sparkSession.sparkContext
+    package = Path(__file__).resolve().parent.parent
+    if context.applicationId not in _shipped and package.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="vicinage-")) / "vicinage-code.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(package.rglob("*.py")):
+                z.write(path, str(path.relative_to(package.parent)))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)

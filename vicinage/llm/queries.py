@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import minhash_dedup, quality_rules, url_filter
 
 _ALL = {
     "op4_quality_rules": quality_rules,
+    "op10_minhash_dedup": minhash_dedup,
     "op9_url_filter": url_filter,
 }
 QUERIES = {name: module.query for name, module in _ALL.items()}
