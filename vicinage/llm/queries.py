@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, quality_rules, url_filter
+from . import minhash_dedup, quality_rules, suffix_dedup, url_filter
 
 _ALL = {
     "op4_quality_rules": quality_rules,
     "op10_minhash_dedup": minhash_dedup,
+    "op8_suffix_dedup": suffix_dedup,
     "op9_url_filter": url_filter,
 }
 QUERIES = {name: module.query for name, module in _ALL.items()}
