@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, quality_rules, suffix_dedup, url_filter
+from . import language_id, minhash_dedup, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 _ALL = {
     "op2_language_id": language_id,
     "op4_quality_rules": quality_rules,
     "op10_minhash_dedup": minhash_dedup,
+    "op6_quality_classifier": quality_classifier,
     "op8_suffix_dedup": suffix_dedup,
     "op9_url_filter": url_filter,
 }
