@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value for each byte, and one odd base for polynomial hashes.
 BYTE_VALUES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -32,7 +32,7 @@ _powers: dict[str, np.ndarray] = {}
 def _powers_upto(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "base"
     if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, BLOCK_BYTES * 2), BASE_INV if inverse else BASE, dtype=np.uint64)
+        steps = np.full(max(n, BLOCK_BYTES * 3 // 2), BASE_INV if inverse else BASE, dtype=np.uint64)
         steps[0] = 1
         _powers[key] = np.cumprod(steps, dtype=np.uint64)
     return _powers[key][:n]
@@ -66,9 +66,9 @@ def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
         a = b
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a block, and for each text the index of its first word (with an end mark)."""
-    inside = ~IS_SPACE[data]
+    inside = ~separators[data]
     before = np.zeros_like(inside)
     before[1:] = inside[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]
@@ -97,9 +97,9 @@ def span_hash(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64(raw + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True, separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of a block, and the index of each text's first word (with an end mark)."""
-    starts, ends, bounds = word_spans(data, offsets)
+    starts, ends, bounds = word_spans(data, offsets, separators)
     return span_hash(prefix_hash(data, fold_case), starts, ends), bounds
 
 

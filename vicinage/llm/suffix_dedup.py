@@ -42,8 +42,8 @@ LENGTH, GRAM = 100, 24
 #: Places within a block are kept in the low bits of the hash that is minimised.
 PLACE_BITS = 24
 #: Anchors of a task that are held to settle repeats within it.
-HELD = 1 << 20
-BATCH = 8192
+HELD = 1 << 18
+BATCH = 4096
 ANCHOR = "kind byte, shard long, context long, doc_id long, at int, low int, high int"
 
 
