@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, quality_classifier, quality_rules, suffix_dedup, url_filter
+from . import decontaminate, language_id, minhash_dedup, quality_classifier, quality_rules, suffix_dedup, url_filter
 
 _ALL = {
     "op2_language_id": language_id,
+    "op3_decontaminate": decontaminate,
     "op4_quality_rules": quality_rules,
     "op10_minhash_dedup": minhash_dedup,
     "op6_quality_classifier": quality_classifier,
