@@ -12,6 +12,7 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -69,7 +70,7 @@ def ids(docs: DataFrame) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow``, after this package has been sent to the executors once for each application."""
     context = df.sparkSession.sparkContext
     package = Path(__file__).resolve().parent.parent

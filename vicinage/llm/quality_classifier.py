@@ -151,12 +151,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return x, y, np.array([totals[int(c)] / counts[int(c)] for c in y])
 
 
+def block_scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """A score for each text, in blocks of at most a megabyte (or one text) and 512 texts."""
+    parts = [np.zeros(0)]
+    for a, b, data, offsets in text_blocks(texts, 1 << 20):
+        for i in range(0, b - a, 512):
+            j = min(i + 512, b - a)
+            parts.append(model.scores(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
+    return np.concatenate(parts)
+
+
 def _score_task(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_blocks(batch.column(2), 1 << 20):
-                s = np.concatenate([model.scores(features(data[offsets[i] : offsets[min(i + 512, b - a)]], offsets[i : min(i + 512, b - a) + 1] - offsets[i])) for i in range(0, b - a, 512)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (0, 1)), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            s = block_scores(model, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
@@ -170,3 +179,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return score(docs, fit(*labelled_sample(docs, load(spark, sf_dir, "labels"))))
+
+
+def _keep_task(model: Model, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(block_scores(model, batch.column(text_at)) >= THRESHOLD))
+
+    return run
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are predicted to have label 1, with all their columns; nothing is shuffled."""
+    return arrow_map(docs, _keep_task(model, docs.columns.index("text")), docs.schema)

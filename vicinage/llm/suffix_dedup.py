@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import U64, mix64, prefix_hash, span_hash, text_blocks
-from ._store import arrow_map, drop_table, ids, load, partitions, table
+from ._store import arrow_map, ids, load, partitions, table
 
 LENGTH, GRAM = 100, 24
 #: Places within a block are kept in the low bits of the hash that is minimised.
@@ -371,5 +371,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     return cut.withColumnsRenamed({f"_{i}": c for i, c in enumerate(rest)})
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with what is left of their texts, those of which nothing is left excepted; all columns stay, and
+    ``n_chars``, if there is one, is counted anew."""
+    left = remove_repeats(docs, length, with_text=True).where("n_removed = 0 or length(trim(text)) > 0")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents"))
