@@ -1,0 +1,325 @@
+"""Sketches: items become short signatures whose equal components tell how similar the items are.
+
+Every family has ``transform(df, id_column, item_column)``, which adds the signature ``sig`` to one row for each item,
+``estimator``, and ``packed`` (signature of 64-bit words instead of integers). Null items are dropped; ids are assumed distinct.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import estimators as es
+from ..functions import sets as st
+from ..plans.shipping import ship
+from ..functions.hashing import Lcg, pack_bits, seeded_hash, seeded_hash16, string_hash64
+
+EMPTY = 2**31 - 1
+
+
+class Sketcher:
+    n: int
+    packed = False
+    uniform_cost = True
+
+    @property
+    def estimator(self) -> es.Estimator:
+        return es.Estimator(self.n)
+
+    def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
+        raise NotImplementedError
+
+    def same(self, a: Column, b: Column) -> Column:
+        return es.same_bits(a, b, self.n) if self.packed else es.same_components(a, b)
+
+    def estimate(self, a: Column, b: Column) -> Column:
+        return self.estimator.estimate(self.same(a, b))
+
+    def score(self, a: Column, b: Column) -> Column:
+        """The exact similarity of two items, where the family has one."""
+        raise ValueError("this family has no exact similarity; give a score")
+
+
+@dataclass
+class MinHash(Sketcher):
+    """Component i is the least hash, with seed 1000 i, over an array of integers; all components of an empty set are 2**31 - 1.
+
+    ``weights``: a table (element, weight): an element of weight w offers f(x), f(f(x)), ... w times. ``single_bit``: the lowest bit of every
+    component, packed. The array is taken apart, and the minima of one row are combined before the shuffle, which moves signatures only."""
+
+    n: int
+    weights: DataFrame | None = None
+    single_bit: bool = False
+    max_weight: int = 16
+
+    def __post_init__(self):
+        if self.single_bit and self.n % 64:
+            raise ValueError("single-bit signatures have a multiple of 64 bits")
+        self.packed = self.single_bit
+
+    @property
+    def estimator(self) -> es.Estimator:
+        return es.SingleBitEstimator(self.n) if self.single_bit else es.Estimator(self.n)
+
+    def score(self, a: Column, b: Column) -> Column:
+        return st.jaccard(a, b)
+
+    def _offers(self, i: int) -> Column:
+        """The least of the chained hashes that an element offers to component i."""
+        if self.weights is None:
+            return seeded_hash(i * 1000, F.col("x"))
+        least, value = F.lit(None).cast("long"), F.col("x")
+        for step in range(1, self.max_weight + 1):
+            value = seeded_hash(i * 1000, value)
+            least = F.when(F.col("w") >= step, F.least(least, value)).otherwise(least)
+        return least
+
+    def long_form(self, df: DataFrame, id_column: str, item_column: str) -> DataFrame:
+        elements = df.where(F.col(item_column).isNotNull()).select(F.col(id_column).alias("_id"), F.explode_outer(item_column).alias("x"))
+        if self.weights is not None:
+            if self.weights.where(F.col("weight") > self.max_weight).limit(1).count():
+                raise ValueError(f"a weight is above {self.max_weight}")
+            elements = elements.join(self.weights.select(F.col("element").alias("x"), F.col("weight").alias("w")), "x", "left").fillna(1, ["w"])
+        return elements
+
+    def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
+        minima = self.long_form(df, id_column, item_column).groupBy("_id").agg(*(F.coalesce(F.min(self._offers(i)), F.lit(EMPTY)).cast("int").alias(f"h{i}") for i in range(self.n)))
+        parts = [F.col(f"h{i}") for i in range(self.n)]
+        sig = pack_bits(F.array(*(p.bitwiseAND(F.lit(1)) for p in parts))) if self.single_bit else F.array(*parts)
+        return minima.select(F.col("_id").alias(id_column), sig.alias("sig"))
+
+    def neighbours(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
+        """``sig`` and ``next``: for each component the second least distinct hash (null if there is one only); every flip costs 1."""
+        if self.single_bit:
+            raise ValueError("a single bit has no second least hash")
+        elements = self.long_form(df, id_column, item_column).select("_id", "x", *(["w"] if self.weights is not None else []))
+        # Two least distinct values by component, in one pass: the minimum, and the minimum of what is above a minimum joined back.
+        sig = self.transform(df, id_column, item_column).withColumnRenamed(id_column, "_id")
+        second = elements.join(sig, "_id").groupBy("_id").agg(*(F.min(F.when(self._offers(i) > F.get("sig", F.lit(i)), self._offers(i))).cast("int").alias(f"s{i}") for i in range(self.n)))
+        return sig.join(second, "_id").select(F.col("_id").alias(id_column), "sig", F.array(*(F.col(f"s{i}") for i in range(self.n))).alias("next"))
+
+
+def signs(n: int, dim: int) -> np.ndarray:
+    """Random hyperplanes: +1 or -1 for each component and dimension."""
+    rows = []
+    for i in range(n):
+        lcg = Lcg(i * 1000)
+        rows.append([-1.0 if lcg.next_double() < 0.5 else 1.0 for _ in range(dim)])
+    return np.array(rows)
+
+
+@dataclass
+class Hyperplanes(Sketcher):
+    """Bit i tells the side of hyperplane i on which an array of ``dim`` numbers lies. ``with_cost`` adds ``cost``, the absolute dot products."""
+
+    n: int
+    dim: int
+    normalized: bool = False
+    packed = True
+    uniform_cost = False
+
+    def __post_init__(self):
+        if self.n % 64:
+            raise ValueError("bit signatures have a multiple of 64 bits")
+
+    @property
+    def estimator(self) -> es.Estimator:
+        return es.CosineEstimator(self.n)
+
+    def score(self, a: Column, b: Column) -> Column:
+        return st.dot(a, b) if self.normalized else st.cosine(a, b)
+
+    def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item", with_cost: bool = False) -> DataFrame:
+        planes = signs(self.n, self.dim)
+        power = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                dots = np.stack(batch[item_column].to_numpy()).astype(np.float64) @ planes.T
+                words = ((dots > 0).reshape(len(batch), -1, 64) * power).sum(axis=2, dtype=np.uint64).view(np.int64)
+                out = {id_column: batch[id_column], "sig": list(words)}
+                yield pd.DataFrame(out | ({"cost": list(np.abs(dots))} if with_cost else {}))
+
+        rows = df.where(F.col(item_column).isNotNull()).select(id_column, item_column)
+        kind = df.schema[id_column].dataType.simpleString()
+        return rows.mapInPandas(run, f"{id_column} {kind}, sig array<long>" + (", cost array<double>" if with_cost else ""))
+
+
+def sparse_sign(i: int, dim: Column) -> Column:
+    """The sign of a dimension: one of 16 bits of a hash of its sixteenth."""
+    shifted = dim.cast("long") + 1337
+    word = seeded_hash16(i * 1000, F.floor(shifted / 16).cast("long"))
+    return F.when(F.call_function("shiftright", word, (shifted % 16).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+@dataclass
+class SparseHyperplanes(Sketcher):
+    """Hyperplanes for sparse vectors: structs of dimension and value, in an array of any length."""
+
+    n: int
+    packed = True
+    uniform_cost = False
+
+    @property
+    def estimator(self) -> es.Estimator:
+        return es.CosineEstimator(self.n)
+
+    def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
+        long = df.where(F.col(item_column).isNotNull()).select(F.col(id_column).alias("_id"), F.explode_outer(item_column).alias("e")).select("_id", F.col("e.dim").alias("d"), F.col("e.value").alias("v"))
+        sides = long.groupBy("_id").agg(*(F.coalesce(F.sum(F.col("v") * sparse_sign(i, F.col("d"))) > 0, F.lit(False)).cast("int").alias(f"b{i}") for i in range(self.n)))
+        return sides.select(F.col("_id").alias(id_column), pack_bits(F.array(*(F.col(f"b{i}") for i in range(self.n)))).alias("sig"))
+
+
+@dataclass
+class Projections(Sketcher):
+    """Component i is the bucket, ``bucket`` wide, of the projection on random unit vector i. ``rounding``: floor, or trunc (bucket 0 is then twice as wide).
+    ``with_cost`` adds the distances to the nearer border and the bucket beyond it."""
+
+    n: int
+    bucket: float
+    dim: int
+    rounding: str = "floor"
+    uniform_cost = False
+
+    @property
+    def estimator(self) -> es.Estimator:
+        return es.NoEstimator(self.n)
+
+    def vectors(self) -> np.ndarray:
+        rows = []
+        for i in range(self.n):
+            lcg = Lcg(i * 1000)
+            v = np.array([lcg.next_gaussian() for _ in range(self.dim)])
+            rows.append(v / np.sqrt((v * v).sum()))
+        return np.array(rows)
+
+    def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item", with_cost: bool = False) -> DataFrame:
+        vectors, bucket, cut = self.vectors(), self.bucket, {"floor": np.floor, "trunc": np.trunc}[self.rounding]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                at = np.stack(batch[item_column].to_numpy()).astype(np.float64) @ vectors.T / bucket
+                own = cut(at)
+                within = at - np.floor(at)
+                out = {id_column: batch[id_column], "sig": list(own.astype(np.int32))}
+                if with_cost:
+                    out |= {"cost": list(np.minimum(within, 1 - within)), "next": list((own + np.where(within < 0.5, -1, 1)).astype(np.int32))}
+                yield pd.DataFrame(out)
+
+        rows = df.where(F.col(item_column).isNotNull()).select(id_column, item_column)
+        kind = df.schema[id_column].dataType.simpleString()
+        return rows.mapInPandas(run, f"{id_column} {kind}, sig array<int>" + (", cost array<double>, next array<int>" if with_cost else ""))
+
+
+@dataclass
+class Hamming(Sketcher):
+    """The item is the sketch: an array of 64-bit words."""
+
+    n: int
+    packed = True
+
+    def __post_init__(self):
+        if self.n % 64:
+            raise ValueError("bit signatures have a multiple of 64 bits")
+
+    def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
+        return df.where(F.col(item_column).isNotNull()).select(id_column, F.col(item_column).cast("array<long>").alias("sig"))
+
+    def score(self, a: Column, b: Column) -> Column:
+        return self.estimate(a, b)
+
+
+def simhash_votes(h: Column, bit: int) -> Column:
+    return F.sum(F.when(F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
+
+
+@dataclass
+class SimHash(Sketcher):
+    """64 majority votes over the 64-bit hashes of an array of strings; a tie is 0. ``compat32`` repeats the low half, with its two top bits set
+    if any of bits 31 to 63 won."""
+
+    compat32: bool = False
+    n: int = 64
+    packed = True
+
+    def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
+        long = df.where(F.col(item_column).isNotNull()).select(F.col(id_column).alias("_id"), F.explode_outer(item_column).alias("e")).withColumn("h", string_hash64(F.col("e")))
+        votes = long.groupBy("_id").agg(*(F.coalesce(simhash_votes(F.col("h"), b) > 0, F.lit(False)).alias(f"v{b}") for b in range(64)))
+        if self.compat32:
+            top = reduce(lambda x, y: x | y, (F.col(f"v{b}") for b in range(31, 64)))
+            won = [F.col(f"v{b % 32}") | F.col(f"v{b % 32 + 32}") if b % 32 < 31 else top for b in range(64)]
+        else:
+            won = [F.col(f"v{b}") for b in range(64)]
+        return votes.select(F.col("_id").alias(id_column), pack_bits(F.array(*(w.cast("int") for w in won))).alias("sig"))
+
+
+@dataclass
+class PHash(Sketcher):
+    """Perceptual hash of square grey pixel arrays: the low corner of the cosine transform against its mean, the constant term left out."""
+
+    size: int = 32
+    small: int = 8
+    packed = True
+
+    def __post_init__(self):
+        if self.small * self.small % 64:
+            raise ValueError("bit signatures have a multiple of 64 bits")
+        self.n = self.small * self.small
+
+    def basis(self) -> np.ndarray:
+        u, i = np.arange(self.size)[:, None], np.arange(self.size)[None, :]
+        c = np.cos((2 * i + 1) * u * math.pi / (2 * self.size))
+        return c * np.where(u == 0, 1 / math.sqrt(2), 1.0)
+
+    def hash_of(self, pixels: np.ndarray) -> np.ndarray:
+        corner = (self.basis() @ pixels @ self.basis().T / 4)[: self.small, : self.small].reshape(-1)
+        mean = corner[1:].mean()
+        bits = corner > mean
+        bits[0] = False
+        return (bits.reshape(-1, 64) * np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+    def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
+        ship(df.sparkSession)
+        sketcher, size = self, self.size
+
+        def resized(rows) -> np.ndarray:
+            pixels = np.array([np.asarray(r, dtype=float) for r in rows])
+            y = np.arange(size) * pixels.shape[0] // size
+            x = np.arange(size) * pixels.shape[1] // size
+            return pixels[np.ix_(y, x)]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({id_column: batch[id_column], "sig": [sketcher.hash_of(resized(p)) for p in batch[item_column]]})
+
+        kind = df.schema[id_column].dataType.simpleString()
+        return df.where(F.col(item_column).isNotNull()).select(id_column, item_column).mapInPandas(run, f"{id_column} {kind}, sig array<long>")
+
+
+@dataclass
+class CustomSketcher(Sketcher):
+    """A family from a factory: component number to a column expression of the item."""
+
+    n: int
+    component: Callable[[int], Callable[[Column], Column]]
+    bits: bool = False
+
+    def __post_init__(self):
+        if self.bits and self.n % 64:
+            raise ValueError("bit signatures have a multiple of 64 bits")
+        self.packed = self.bits
+
+    def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
+        parts = F.array(*(self.component(i)(F.col(item_column)).cast("int") for i in range(self.n)))
+        return df.where(F.col(item_column).isNotNull()).select(id_column, (pack_bits(parts) if self.bits else parts).alias("sig"))

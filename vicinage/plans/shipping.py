@@ -1,0 +1,25 @@
+"""Sends this package to the executors, for functions that run in Python there."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Once for each application; workers that find the package on their path anyway are not disturbed."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent.parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="vicinage-")) / "vicinage-code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, str(path.relative_to(package.parent)))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
