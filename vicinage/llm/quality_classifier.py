@@ -106,23 +106,38 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+def _parts(x: np.ndarray, rows: int = 256) -> Iterator[np.ndarray]:
+    return (x[i : i + rows].astype(F32) for i in range(0, len(x), rows))
+
+
 def fit(x: np.ndarray, labels: np.ndarray, weights: np.ndarray, seed: int = 3) -> Model:
     """Leading singular vectors of the weighted sample by subspace iteration."""
     if not len(x):
         return Model(np.ones(COLUMNS, F32), np.zeros((COLUMNS, RANK), F32), np.zeros((0, RANK), F32), labels, weights)
-    found = (x > 0).sum(axis=0)
+    found = np.zeros(COLUMNS)
+    for part in _parts(x):
+        found += (part > 0).sum(axis=0)
     rarity = np.log((1 + len(x)) / (1 + found)).astype(F32) + F32(0.1)
-    y = x * rarity
-    y /= np.linalg.norm(y, axis=1, keepdims=True) + F32(1e-9)
+
+    def weighted(part: np.ndarray) -> np.ndarray:
+        y = part * rarity
+        y /= np.linalg.norm(y, axis=1, keepdims=True) + F32(1e-9)
+        return y
+
+    # The weighted rows are made again for each block and step: only half-precision counts stay in memory.
     basis = np.random.default_rng(seed).standard_normal((COLUMNS, RANK + 8)).astype(F32)
     for _ in range(4):
-        basis, _ = np.linalg.qr(y.T @ (y @ basis))
-    _, values, turned = np.linalg.svd(y @ basis, full_matrices=False)
+        turned = np.zeros_like(basis)
+        for part in _parts(x):
+            y = weighted(part)
+            turned += y.T @ (y @ basis)
+        basis, _ = np.linalg.qr(turned)
+    _, values, turned = np.linalg.svd(np.concatenate([weighted(part) @ basis for part in _parts(x)]), full_matrices=False)
     values = values[:RANK]
     # Equal parts of every direction would raise noise, the raw ones hear only the common: the root lies between.
     basis = (basis @ turned.T[:, :RANK]) / np.sqrt(values + 1e-6)
     model = Model(rarity, basis.astype(F32), np.zeros((0, RANK), F32), labels, weights)
-    model.vectors = model.project(x)
+    model.vectors = np.concatenate([model.project(part) for part in _parts(x)])
     return model
 
 
@@ -144,8 +159,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         return np.zeros((0, COLUMNS), F32), np.zeros(0), np.zeros(0)
     picked = docs.sparkSession.createDataFrame([(i,) for i in known], "doc_id long")
     rows = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id", "left_semi"), _features_task, "doc_id long, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, bytes(r.x)))
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(F32) if rows else np.zeros((0, COLUMNS), F32)
+    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
+    x = np.empty((len(rows), COLUMNS), np.float16)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r.x, np.float16)
     y = np.array([known[r.doc_id] for r in rows], float)
     counts = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     return x, y, np.array([totals[int(c)] / counts[int(c)] for c in y])
