@@ -109,10 +109,9 @@ def renumber_by_frequency(sets: DataFrame, element: str = "element") -> DataFram
     return counts.join(below, "n").select(element, "n", (F.col("start") + within).alias("number"))
 
 
-def weighted_overlaps(pairs: DataFrame, weights: DataFrame, a: str, b: str, element: str = "element", weight: str = "weight") -> DataFrame:
-    """For rows with two arrays: weights of intersection and union, and their quotient (0 if the union has none)."""
-    row = pairs.withColumn("_row", F.monotonically_increasing_id())
-    marked = row.select("_row", F.explode(F.array_union(a, b)).alias(element), F.col(a).alias("_a"), F.col(b).alias("_b")).select("_row", element, (F.array_contains("_a", F.col(element)) & F.array_contains("_b", F.col(element))).alias("_both"))
-    sums = marked.join(weights, element, "left").groupBy("_row").agg(F.coalesce(F.sum(F.when(F.col("_both"), F.col(weight))), F.lit(0.0)).alias("common_weight"), F.coalesce(F.sum(weight), F.lit(0.0)).alias("union_weight"))
-    out = row.join(sums, "_row", "left").drop("_row").fillna(0.0, ["common_weight", "union_weight"])
+def weighted_overlaps(pairs: DataFrame, weights: DataFrame, a: str, b: str, keys: list[str], element: str = "element", weight: str = "weight") -> DataFrame:
+    """For rows with two arrays, told apart by ``keys``: weights of intersection and union, and their quotient (0 if the union has none)."""
+    marked = pairs.select(*keys, F.explode(F.array_union(a, b)).alias(element), F.col(a).alias("_a"), F.col(b).alias("_b")).select(*keys, element, (F.array_contains("_a", F.col(element)) & F.array_contains("_b", F.col(element))).alias("_both"))
+    sums = marked.join(weights, element, "left").groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_both"), F.col(weight))), F.lit(0.0)).alias("common_weight"), F.coalesce(F.sum(weight), F.lit(0.0)).alias("union_weight"))
+    out = pairs.join(sums, keys, "left").fillna(0.0, ["common_weight", "union_weight"])
     return out.withColumn("weighted_jaccard", F.coalesce(F.try_divide("common_weight", "union_weight"), F.lit(0.0)))

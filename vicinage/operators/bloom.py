@@ -87,8 +87,8 @@ class BloomFilter:
 
 def seen_before(df: DataFrame, key: str, order: str) -> DataFrame:
     """Test and set, exactly: ``seen`` is false for a key's first row by ``order`` and true for later ones."""
-    first = df.groupBy(key).agg(F.min(order).alias("_first"))
-    return df.join(first, df[key].eqNullSafe(first[key])).select(*(df[c] for c in df.columns), (F.col(order) > F.col("_first")).alias("seen"))
+    first = df.groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"))
+    return df.join(first, F.col(key).eqNullSafe(F.col("_k"))).withColumn("seen", F.col(order) > F.col("_first")).drop("_k", "_first")
 
 
 @dataclass(frozen=True)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
 from .metric import Distance, within
 
 
@@ -16,35 +14,18 @@ def region_query(items: DataFrame, distance: Distance, eps: float) -> DataFrame:
     return within(items, items, distance, eps)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vicinage-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """A table in the shared folder: the lineage ends there."""
-    spark = df.sparkSession
-    path = shared_path(spark, "labels")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """``id, component``: the least id reachable over the pairs ``id, other_id``.
 
     Labels fall to the least among neighbours and then jump to their label's label, which halves the length of chains."""
-    both = _saved(edges.select("id", "other_id").union(edges.select("other_id", "id")).where("id <> other_id").distinct())
+    both = saved(edges.select("id", "other_id").union(edges.select("other_id", "id")).where("id <> other_id").distinct())
     start = both.select("id").distinct() if vertices is None else vertices.select("id").distinct()
-    labels = _saved(start.withColumn("component", F.col("id")))
+    labels = saved(start.withColumn("component", F.col("id")))
     while True:
         near = both.join(labels.select(F.col("id").alias("other_id"), "component"), "other_id").groupBy("id").agg(F.min("component").alias("near"))
         lower = labels.join(near, "id", "left").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         hop = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = _saved(lower.join(hop, "component", "left").select("id", F.least("component", "further").alias("component"), "was"))
+        new = saved(lower.join(hop, "component", "left").select("id", F.least("component", "further").alias("component"), "was"))
         labels = new.select("id", "component")
         if not new.where("component <> was").limit(1).count():
             return labels
@@ -58,7 +39,7 @@ def core_flags(items: DataFrame, neighbours: DataFrame, min_points: int) -> Data
 
 def dbscan(items: DataFrame, eps: float, min_points: int, distance: Distance | None = None, neighbours: DataFrame | None = None) -> DataFrame:
     """``id, is_core, cluster``: the least core id of the cluster, null for noise. A border item that several clusters reach joins the one with the least id."""
-    near = _saved(neighbours if neighbours is not None else region_query(items, distance, eps))
+    near = saved(neighbours if neighbours is not None else region_query(items, distance, eps))
     flags = core_flags(items, near, min_points)
     core = flags.where("is_core").select("id")
     core_edges = near.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "other_id"), "other_id", "left_semi")
@@ -78,7 +59,7 @@ def optics(items: DataFrame, eps: float, min_points: int, distance: Distance | N
     """``id, start, place, reachability, core_distance``: rows ordered by ``start, place`` are the OPTICS order; -1 stands for undefined.
 
     Parts of the neighbour graph that aren't connected never meet in the queue, so each is ordered in a task of its own."""
-    near = _saved(neighbours if neighbours is not None else region_query(items, distance, eps))
+    near = saved(neighbours if neighbours is not None else region_query(items, distance, eps))
     parts = connected_components(near, items)
     cores = core_distances(items, near, min_points)
     lists = near.groupBy("id").agg(F.collect_list(F.struct("other_id", "distance")).alias("near"))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+
 
 def sorted_by(df: DataFrame, *keys: Column, stable: Column | None = None, descending: bool = False) -> DataFrame:
     """Nulls first (last if descending); ``stable`` settles ties as given."""
@@ -19,10 +21,10 @@ def with_place(df: DataFrame, *keys: Column, descending: bool = False, name: str
     order = [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]
     # A constant number of ranges would cap the cluster: Spark's own shuffle setting decides.
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).select("*", F.monotonically_increasing_id().alias("_mark"))
-    marked = ranged.persist()
+    marked = saved(ranged, "ranges")
     starts = marked.groupBy("_part").agg(F.count("*").alias("_m")).withColumn("_start", F.sum("_m").over(Window.orderBy("_part")) - F.col("_m"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_mark")) - 1
-    return marked.join(F.broadcast(starts.select("_part", "_start")), "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start", "_mark")
+    return marked.join(starts.select("_part", "_start"), "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start", "_mark")
 
 
 def signed_bytes(b: Column) -> Column:

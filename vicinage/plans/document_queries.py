@@ -209,8 +209,8 @@ def search_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("index_roundtrip", f"{BANDED} select band, count(*) as n, count(distinct slice) as buckets from bands group by band")
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The band table written to disk and read back, by band."""
-    from ..operators.clustering import shared_path
     from ..sources.index_store import read_index, write_index
+    from ..sources.tables import shared_path
 
     path = shared_path(spark, "index")
     write_index(index_of(spark, sf_dir), path)
