@@ -51,7 +51,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def may_overlap(a: Column, b: Column) -> Column:
     """Whether the ranges of two sorted sets meet; false if one is empty."""
-    return F.coalesce((F.element_at(a, -1) >= F.get(b, F.lit(0))) & (F.element_at(b, -1) >= F.get(a, F.lit(0))), F.lit(False))
+    last = lambda x: F.get(x, F.size(x) - 1)
+    return F.coalesce((last(a) >= F.get(b, F.lit(0))) & (last(b) >= F.get(a, F.lit(0))), F.lit(False))
 
 
 def merge_sorted(a: Column, b: Column) -> Column:

@@ -43,7 +43,7 @@ def remove(dictionary: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def overlap_sizes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: ``common`` and ``total`` distinct keys of two dictionaries or sets."""
-    both = a.select(key, F.lit(1).alias("s")).union(b.select(key, F.lit(2))).groupBy(key).agg(F.countDistinct("s").alias("sides"))
+    both = a.select(key, F.lit(1).alias("_side")).union(b.select(key, F.lit(2))).groupBy(key).agg(F.countDistinct("_side").alias("sides"))
     return both.agg(F.coalesce(F.sum((F.col("sides") == 2).cast("long")), F.lit(0)).alias("common"), F.count("*").alias("total"))
 
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.similarity import BuildConfig, Index
+from ..operators.similarity import BuildConfig, Index, band_table
 from ..operators.sketches import Sketcher
 
 
 def write_index(index: Index, path: str) -> None:
     """Rows of a band are clustered by slice, so a lookup reads few row groups of one directory."""
-    index.bands.repartition("band").sortWithinPartitions("band", F.xxhash64("slice")).write.partitionBy("band").parquet(f"{path}/bands")
-    index.signatures.write.parquet(f"{path}/signatures")
-    index.items.write.parquet(f"{path}/items")
     build = index.build
+    index.items.write.parquet(f"{path}/items")
+    index.signatures.write.parquet(f"{path}/signatures")
+    # Signatures are made once: the bands are cut from the stored ones.
+    stored = index.items.sparkSession.read.parquet(f"{path}/signatures")
+    bands = band_table(stored, index.sketcher, build)
+    bands.repartition("band").sortWithinPartitions("band", F.xxhash64("slice")).write.partitionBy("band").parquet(f"{path}/bands")
     row = [(type(index.sketcher).__name__, index.sketcher.n, build.bands, build.hash_bits, build.min_bucket_size, build.max_bucket_size)]
     schema = "family string, n int, bands int, hash_bits int, min_bucket_size int, max_bucket_size long"
     index.items.sparkSession.createDataFrame(row, schema).coalesce(1).write.parquet(f"{path}/parameters")
