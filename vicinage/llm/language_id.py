@@ -182,8 +182,10 @@ class Network:
 
     def document_probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, C): the mean over all positions of each text; zeros for empty texts."""
-        rows, starts, windows = cut(data, offsets)
         out = np.zeros((len(offsets) - 1, len(self.languages)))
+        if not self.languages:
+            return out
+        rows, starts, windows = cut(data, offsets)
         for a in range(0, len(starts), SIDE_BY_SIDE):
             part = windows(a, a + SIDE_BY_SIDE)
             p = self.fast_probabilities(part)
