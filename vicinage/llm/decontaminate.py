@@ -189,30 +189,50 @@ def _find_task(items: Items, percent: int):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, item_id, item_words, distance, end_word``: the benchmark items that each document holds."""
-    spark = docs.sparkSession
-    texts = ids(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, item_words long, distance long, end_word long"
-    found = spark.createDataFrame([], schema)
+def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
+    """The benchmark in blocks of bounded size, one at a time on the driver."""
     held_ids: list[int] = []
     held: list[bytes] = []
     room = block_words
-
-    def searched() -> DataFrame:
-        return found.union(arrow_map(texts, _find_task(Items.of(held_ids, held), percent), schema))
-
-    # One block of the benchmark at a time is on the driver.
     for row in benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         n = len(row.text.split())
         if held and n > room:
-            found = searched()
+            yield Items.of(held_ids, held)
             held_ids, held, room = [], [], block_words
         if n:
             held_ids.append(row.item_id)
             held.append(row.text.encode())
             room -= n
-    return searched() if held else found
+    if held:
+        yield Items.of(held_ids, held)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, item_id, item_words, distance, end_word``: the benchmark items that each document holds."""
+    texts = ids(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    schema = "doc_id long, item_id long, item_words long, distance long, end_word long"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for items in _item_blocks(benchmark, block_words):
+        found = found.union(arrow_map(texts, _find_task(items, percent), schema))
+    return found
+
+
+def _clean_task(items: Items, percent: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for a, _, data, offsets in text_blocks(batch.column(text_at)):
+                clean[[a + f[0] for f in find(data, offsets, items, percent)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that hold no item, with all their columns: a filter, nothing is shuffled. Rows with a null id are judged too."""
+    for items in _item_blocks(benchmark, block_words):
+        docs = arrow_map(docs, _clean_task(items, percent, docs.columns.index("text")), docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
