@@ -382,3 +382,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents where doc_id is not null),
+w as (select doc_id, p, md5(substr(h, 2 * p + 1, {2 * LENGTH})) as s from (select doc_id, h, unnest(range(0, n - {LENGTH - 1})) as p from d)),
+f as (select doc_id, p, row_number() over (partition by s order by doc_id, p) as nth from w),
+g as (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + {LENGTH} then 1 else 0 end as new from f where nth > 1),
+k as (select doc_id, p, sum(new) over (partition by doc_id order by p rows unbounded preceding) as run from g),
+r as materialized (select doc_id, run, min(p) as low, max(p) + {LENGTH} as high from k group by all),
+c as (select doc_id, low, high, coalesce(lag(high) over (partition by doc_id order by low), 0) as before from r),
+a as (select doc_id, sum(high - low) as gone, count(*) as spans, max(high) as last, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' order by low) as head from c join d using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from d left join a using (doc_id)
+"""

@@ -27,7 +27,7 @@ from datetime import UTC, datetime, timedelta
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import arrow_map, load, new_path, partitions, table
@@ -302,10 +302,30 @@ def capture_histories(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, fan_
 
 
 def _by_name():
-    from pyspark.sql import Window
-
     return Window.orderBy("run")
 
 
+def with_global_place(histories: DataFrame) -> DataFrame:
+    """Instead of range and place in it, ``place`` among all captures: the ranges' sizes, one row each, are added up."""
+    merged = table(histories, "merged")
+    sizes = merged.groupBy("merge_range").agg(F.count("*").alias("n"))
+    starts = sizes.select("merge_range", (F.sum("n").over(Window.orderBy("merge_range")) - F.col("n")).alias("start"))
+    placed = merged.join(F.broadcast(starts), "merge_range")  # as many rows as ranges
+    return placed.withColumn("place", F.col("start") + F.col("merge_place")).drop("merge_range", "merge_place", "start")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_histories(load(spark, sf_dir, "pages"))
+    return with_global_place(capture_histories(load(spark, sf_dir, "pages")))
+
+
+SQL = """
+with p as (select page_id, coalesce(url, '') as u, encode(coalesce(html, '')) as body from pages where page_id is not null),
+d as (select page_id, u, octet_length(body) as n, sha256(body) as digest from p),
+f as (select *, min(page_id) over (partition by digest) as least from d),
+h as (select *, case when contains(u, '://') then substr(u, strpos(u, '://') + 3) else u end as rest from f),
+k as (select *, regexp_extract(rest, '^[^/?#]*', 0, 's') as host, regexp_extract(rest, '^[^/?#]*([^#]*)', 1, 's') as tail from h),
+c as (select page_id, n::bigint as payload_bytes, digest as payload_digest, case when n >= 100 and page_id > least then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id > least then least end as refers_to,
+  case when u = '' then '' else array_to_string(list_reverse(string_split(regexp_replace(translate(regexp_replace(host, '^.*@', '', 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':.*$', '', 's'), '.')), ',') || ')' || tail end as url_key,
+  strftime(timestamp '2024-01-01' + to_seconds(page_id % 4000000000), '%Y-%m-%dT%H:%M:%SZ') as captured from k)
+select *, row_number() over (order by url_key, captured, page_id) - 1 as place from c
+"""
