@@ -191,4 +191,61 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(load(spark, sf_dir, "documents"))
+    return quality_rules(load(spark, sf_dir, "documents")).drop("distance2")
+
+
+def _sql(min_cell: int = 50, steps: int = 4) -> str:
+    """The whole rule in SQL, with the same start, bins and number of steps."""
+    d = range(len(FEATURES))
+    pairs = [(j, i) for i in d for j in range(i + 1)]
+    ctes = [
+        r"""t as materialized (select doc_id, lang, source, coalesce(text, '') as t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+tt as materialized (select row_number() over () as rowid_, * from t),
+g as (select rid, i, md5(array_to_string(w[i:i + 4], chr(10))) as g from (select rowid_ as rid, w, unnest(range(1, len(w) - 3)) as i from tt)),
+r as (select rid, count(distinct j) as n from (select rid, unnest([i, i + 1, i + 2, i + 3, i + 4]) as j from (select rid, i, count(*) over (partition by rid, g) as k from g) where k > 1) group by rid),
+l as (select rowid_, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines, len(string_split(t, chr(10))) as n_lines from tt),
+s as materialized (select doc_id, lang, source, tt.rowid_ as rid, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, n_lines, coalesce(n, 0) as n_repeat_words from tt join l on l.rowid_ = tt.rowid_ left join r on r.rid = tt.rowid_),
+x as materialized (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, round(ln(1 + n_words::double), 9) as x0, round(ln(greatest(word_chars, 1) / greatest(n_words, 1)), 9) as x1, round(ln(1 + 20 * n_symbols / greatest(n_words, 1)), 9) as x2, round(ln(1 + 10 * n_repeat_words / greatest(n_words, 1)) + ln(1 + 10 * n_dup_lines / greatest(n_lines, 1)), 9) as x3 from s),
+z as (select lang, source, count(*) as n from x group by all)""",
+        f"zl as (select lang, sum(n) as n from z where n < {min_cell} group by lang)",
+        f"zn as (select z.lang, z.source, z.n, case when z.n >= {min_cell} then coalesce(length(z.lang) || ':' || z.lang, '-') || '/' || coalesce(length(z.source) || ':' || z.source, '-') when zl.n >= {min_cell} then coalesce(length(z.lang) || ':' || z.lang, '-') || '/*' else '*' end as cell from z left join zl on z.lang is not distinct from zl.lang)",
+        f"zc as (select cell from zn group by cell having sum(n) >= {min_cell})",
+        "rows as materialized (select x.*, zc.cell from x join zn on x.lang is not distinct from zn.lang and x.source is not distinct from zn.source left join zc on zc.cell = zn.cell)",
+        "fitted as materialized (select * from rows where not base_failed and cell is not null)",
+        "b0 as (" + " union all ".join(f"select cell, {i} as k, floor(x{i} * 64)::int as bin, count(*) as n from fitted group by all" for i in d) + ")",
+        "b1 as (select *, sum(n) over (partition by cell, k order by bin) as upto, sum(n) over (partition by cell, k) as total from b0)",
+        "b2 as (select cell, k, " + ", ".join(f"(min(bin) filter (upto >= ceil({q} * total)) + 0.5) / 64 as {n}" for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))) + " from b1 group by cell, k)",
+        "e0 as (select cell, " + ", ".join(f"max(q2) filter (k = {i}) as m{i}" for i in d) + ", " + ", ".join(f"max(pow((q3 - q1) / 1.349, 2) + {FLOORS[i] ** 2!r}) filter (k = {i}) as c{i}{i}" if i == j else f"0.0::double as c{j}{i}" for j, i in pairs) + " from b2 group by cell)",
+    ]
+
+    def distances(estimate: str, rows: str, name: str) -> None:
+        columns = [*(f"m{i}" for i in d), *(f"c{j}{i}" for j, i in pairs)]
+        last = estimate
+        for j in d:
+            own = f"sqrt(greatest(c{j}{j}" + "".join(f" - l{k}{j} * l{k}{j}" for k in range(j)) + ", 1e-12))"
+            ctes.append(f"{name}f{j} as (select *, {own} as l{j}{j} from {last})")
+            below = ", ".join(f"(c{j}{i}" + "".join(f" - l{k}{i} * l{k}{j}" for k in range(j)) + f") / l{j}{j} as l{j}{i}" for i in d if i > j)
+            last = f"{name}f{j}"
+            if below:
+                ctes.append(f"{name}g{j} as (select *, {below} from {last})")
+                last = f"{name}g{j}"
+        ctes.append(f"{name}h as (select r.*, {', '.join(c for c in [*(f'e.m{i}' for i in d), *(f'e.l{j}{i}' for j, i in pairs)])} from {rows} r left join {last} e on r.cell = e.cell)")
+        last = f"{name}h"
+        for i in d:
+            ctes.append(f"{name}z{i} as (select *, (x{i} - m{i}" + "".join(f" - l{j}{i} * z{j}" for j in range(i)) + f") / l{i}{i} as z{i} from {last})")
+            last = f"{name}z{i}"
+        ctes.append(f"{name} as materialized (select * exclude ({', '.join([*columns[:len(d)], *(f'l{j}{i}' for j, i in pairs)])}), {' + '.join(f'z{i} * z{i}' for i in d)} as d2 from {last})")
+
+    for step in range(steps):
+        scale = CONSISTENCY if step == steps - 1 else 1.0
+        distances(f"e{step}", "fitted", f"n{step}")
+        ctes.append(f"o{step} as materialized (select cell, {', '.join(f'x{i}' for i in d)}, floor(16 * log2(greatest(d2, 1e-6)))::int as bin from n{step})")
+        ctes.append(f"p{step} as (select cell, bin, sum(count(*)) over (partition by cell order by bin) as upto, sum(count(*)) over (partition by cell) as total from o{step} group by cell, bin)")
+        ctes.append(f"q{step} as (select cell, min(bin) as top from p{step} where upto >= ceil({SUPPORT} * total) group by cell)")
+        moments = ", ".join([*(f"avg(x{i}) as m{i}" for i in d), *(f"{scale} * (avg(x{i} * x{j}) - avg(x{i}) * avg(x{j})){f' + {FLOORS[i] ** 2!r}' if i == j else ''} as c{j}{i}" for j, i in pairs)])
+        ctes.append(f"e{step + 1} as materialized (select o.cell, {moments} from o{step} o join q{step} q on o.cell = q.cell and o.bin <= q.top group by o.cell)")
+    distances(f"e{steps}", "rows", "judged")
+    return "with " + ",\n".join(ctes) + f"\nselect doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2, 0) <= {CUTOFF} as kept from judged"
+
+
+SQL = _sql()
