@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bit_slice
+from ..sources.tables import saved
 from .sketches import Sketcher
 
 Score = Callable[[Column, Column], Column]
@@ -245,7 +246,14 @@ class Index:
         return met.crossJoin(compared)
 
 
-def build_index(df: DataFrame, sketcher: Sketcher, build: BuildConfig, id_column: str = "id", item_column: str = "item", score: Score | str = "exact", kind: str = "sim", config: QueryConfig | None = None) -> Index:
+def build_index(
+    df: DataFrame, sketcher: Sketcher, build: BuildConfig, id_column: str = "id", item_column: str = "item", score: Score | str = "exact", kind: str = "sim", config: QueryConfig | None = None, store: bool = True
+) -> Index:
+    """``store``: items and signatures are made once and written to the shared folder, from which all queries read; otherwise every query makes them again."""
     items = df.where(F.col(item_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(item_column).alias("item"))
+    if store:
+        items = saved(items, "items")
     signatures = sketcher.transform(items)
+    if store:
+        signatures = saved(signatures, "signatures")
     return Index(items, signatures, band_table(signatures, sketcher, build), sketcher, build, config=config or QueryConfig()).with_score(score, kind)

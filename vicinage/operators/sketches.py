@@ -13,13 +13,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import estimators as es
 from ..functions import sets as st
 from ..plans.shipping import ship
-from ..functions.hashing import Lcg, pack_bits, seeded_hash, seeded_hash16, string_hash64
+from ..functions.hashing import Lcg, pack_bits, seeded_hash, seeded_hash16, seeded_parameters, string_hash64
 
 EMPTY = 2**31 - 1
 
@@ -50,9 +51,11 @@ class Sketcher:
 @dataclass
 class MinHash(Sketcher):
     """Component i is the least hash, with seed 1000 i, over an array of integers; all components of an empty set are 2**31 - 1.
+    Without weights a row's minima are taken by numpy within its Arrow batch: nothing is exploded or shuffled. (As 64 aggregate
+    columns the generated code exceeds what the JVM compiles, and ran ten times slower.)
 
     ``weights``: a table (element, weight): an element of weight w offers f(x), f(f(x)), ... w times. ``single_bit``: the lowest bit of every
-    component, packed. The array is taken apart, and the minima of one row are combined before the shuffle, which moves signatures only."""
+    component, packed. Weighted arrays are taken apart, as elements meet their weights in a join; minima are combined before the shuffle."""
 
     n: int
     weights: DataFrame | None = None
@@ -89,7 +92,41 @@ class MinHash(Sketcher):
             elements = elements.join(self.weights.select(F.col("element").alias("x"), F.col("weight").alias("w")), "x", "left").fillna(1, ["w"])
         return elements
 
+    def _minima(self, df: DataFrame, id_column: str, item_column: str) -> DataFrame:
+        parameters = [seeded_parameters(i * 1000) for i in range(self.n)]
+        n, empty, block = self.n, EMPTY, 1 << 16
+
+        def minima(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            out = np.full((len(bounds) - 1, n), empty, np.int32)
+            rows = np.flatnonzero(np.diff(bounds))
+            i = 0
+            while i < len(rows):  # whole rows, about a block of elements at a time
+                j = max(i + 1, int(np.searchsorted(bounds[rows], bounds[rows[i]] + block)))
+                first, last = bounds[rows[i]], bounds[rows[j - 1] + 1]
+                x, cuts = values[first:last].astype(np.int64).view(np.uint64), bounds[rows[i:j]] - first
+                for c, (a, b) in enumerate(parameters):
+                    hashed = ((x * np.uint64(a & (2**64 - 1)) + np.uint64(b)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    out[rows[i:j], c] = np.minimum.reduceat(hashed, cuts)
+                i = j
+            return out
+
+        def run(batches):
+            for batch in batches:
+                item = batch.column(1)
+                bounds = item.offsets.to_numpy().astype(np.int64)
+                found = minima(item.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]], bounds - bounds[0])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * n), pa.array(found.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_column, "sig"])
+
+        rows = df.where(F.col(item_column).isNotNull()).select(id_column, F.filter(F.col(item_column).cast("array<long>"), lambda x: x.isNotNull()).alias("item"))
+        return rows.mapInArrow(run, f"`{id_column}` {df.schema[id_column].dataType.simpleString()}, sig array<int>")
+
     def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
+        if self.weights is None:
+            minima = self._minima(df, id_column, item_column)
+            if not self.single_bit:
+                return minima
+            return minima.select(id_column, pack_bits(F.transform("sig", lambda h: h.bitwiseAND(F.lit(1)))).alias("sig"))
         minima = self.long_form(df, id_column, item_column).groupBy("_id").agg(*(F.coalesce(F.min(self._offers(i)), F.lit(EMPTY)).cast("int").alias(f"h{i}") for i in range(self.n)))
         parts = [F.col(f"h{i}") for i in range(self.n)]
         sig = pack_bits(F.array(*(p.bitwiseAND(F.lit(1)) for p in parts))) if self.single_bit else F.array(*parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,29 @@ def codes(text: str = "text"):
     return F.transform(words(text), element_code)
 
 
+def coded_sets(rows: DataFrame, id_column: str, words_column: str) -> DataFrame:
+    """``id, item``: arrays of words as sorted sets of their codes (as ``element_code``). A batch's words are coded once each, not at every place."""
+    from hashlib import md5
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            table = np.array([int(md5(w.encode()).hexdigest()[:7], 16) for w in coded.dictionary.to_pylist()], np.int64)
+            flat = table[coded.indices.to_numpy()] if len(table) else np.zeros(0, np.int64)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            key = np.unique((row << 28) | flat)
+            ends = np.searchsorted(key >> 28, np.arange(len(bounds)))
+            sets = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key & ((1 << 28) - 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "item"])
+
+    return rows.select(id_column, words_column).mapInArrow(run, f"id {rows.schema[id_column].dataType.simpleString()}, item array<long>")
+
+
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, item``: documents as sorted sets of word codes."""
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_sort(F.array_distinct(codes())).alias("item"))
+    return coded_sets(load(spark, sf_dir, "documents").select("doc_id", words().alias("w")), "doc_id", "w")
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
