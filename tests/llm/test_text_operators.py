@@ -180,6 +180,26 @@ def test_leaks_match_exact_distances(spark, make_docs):
     assert decontaminate.leaks(make_docs(rows), benchmark.where("false")).count() == 0
 
 
+def edited_heads(rng, n_words, change):
+    """An item of the given length, and a document that holds it with its first words dropped or replaced up to the allowed distance."""
+    item = [f"w{rng.randrange(5000)}" for _ in range(n_words)]
+    allowed = n_words // 5
+    head = [f"n{rng.randrange(5000)}" for _ in range(allowed)] if change == "replaced" else []
+    around = [[f"x{rng.randrange(5000)}" for _ in range(rng.randrange(20, 90))] for _ in range(2)]
+    return " ".join(item), " ".join(around[0] + head + item[allowed:] + around[1])
+
+
+@pytest.mark.parametrize("change", ["dropped", "replaced"])
+@pytest.mark.parametrize("n_words", [60, 100, 200])
+def test_leaks_with_edits_at_the_head_only(n_words, change):
+    rng = random.Random(n_words)
+    pairs = [edited_heads(rng, n_words, change) for _ in range(40)]
+    items = decontaminate.Items.of(list(range(40)), [i.encode() for i, _ in pairs])
+    texts = [d.encode() for _, d in pairs]
+    found = decontaminate.find(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), items)
+    assert {(d, i): v for d, i, v, _ in found} == {(k, k): n_words // 5 for k in range(40)}
+
+
 def test_licences(make_docs):
     grant = dict(license_scan.TEMPLATES)["mit-grant"]
     words = grant.split()
