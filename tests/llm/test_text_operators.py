@@ -200,6 +200,33 @@ def test_leaks_with_edits_at_the_head_only(n_words, change):
     assert {(d, i): v for d, i, v, _ in found} == {(k, k): n_words // 5 for k in range(40)}
 
 
+def short_items(spark, percent):
+    rng = random.Random(11)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in range(1, 19) for _ in range(20)]
+    edited = []
+    for words in items:
+        words = list(words)
+        for _ in range(percent * len(words) // 100):
+            p = rng.randrange(len(words))
+            words[p : p + 1] = rng.choice([[], [f"n{rng.randrange(5000)}"], [words[p], f"n{rng.randrange(5000)}"]])
+        edited.append(words)
+    around = lambda: [f"x{rng.randrange(5000)}" for _ in range(rng.randrange(0, 40))]
+    rows = [(k, " ".join(around() + w + around())) for k, w in enumerate(edited)]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    return items, rows, benchmark
+
+
+@pytest.mark.parametrize("percent", [0, 20])
+def test_short_items_are_all_found(spark, make_docs, percent):
+    items, rows, benchmark = short_items(spark, percent)
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(make_docs(rows), benchmark).collect()}
+    texts = {i: brute.plain_words(t) for i, t in rows}
+    want = {(d, i): v for d, words in texts.items() for i, item in enumerate(items) if set(item) & set(words) and (v := brute.edit_distance_within(item, words)) <= len(item) // 5}
+    assert got == want and all((k, k) in want for k in texts)
+    clean = {r.doc_id for r in decontaminate.without_leaks(make_docs([*rows, (1000, "x1 x2"), (1001, "")]), benchmark).collect()}
+    assert clean == {1000, 1001}
+
+
 def test_licences(make_docs):
     grant = dict(license_scan.TEMPLATES)["mit-grant"]
     words = grant.split()

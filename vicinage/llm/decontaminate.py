@@ -10,6 +10,11 @@ places: edit distance becomes Hamming distance. LSH samples places of the walk:
 ``SAMPLED`` places. There are ``WALKS`` independent walks, item-sized windows of three scales (walks of 16, 32 and 64 steps), and
 ``TABLES`` samples for each. A window whose walk ends within a sample gives no key there.
 
+Items of fewer than ``SHORT`` words, whose walks may all end before their last place, are looked up exactly instead: cut into one piece more than
+the allowed distance, at least one piece of such an item is left intact by any allowed edits, and each piece is looked up at every word of
+the documents. No part within the distance is missed (for ``percent`` below 100); from ``SHORT`` words on, the smallest walk from each of the first
+``STRIDE`` words stays within the item, so that verbatim passages always share a key.
+
 Documents' windows start at every ``STRIDE``-th word and items' windows at each of their words, so whatever the place
 of a passage and wherever it is edited, each of its windows stands opposite one of the item's, and a stretch left intact anywhere
 in the item can give a candidate. Keys of items are in a sorted array behind a small bitmap. Each candidate is then verified by the exact edit distance of the whole item to the best part of the document around it.
@@ -39,6 +44,8 @@ from ._store import arrow_map, ids, load
 
 PERCENT = 20
 STRIDE, WALKS, SCALES, TABLES, SAMPLED = 4, 4, (16, 32, 64), 3, 4
+#: Items below this many words are looked up by pieces.
+SHORT = STRIDE + SCALES[0] - 1
 BLOCK_WORDS = 100_000
 BITMAP_BITS = 22
 #: Windows walked side by side.
@@ -84,6 +91,16 @@ def keys(tokens: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, n
                 yield mix64(key), written[int(places[-1])] != NONE
 
 
+def piece_keys(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length in order: the keys of so many words, at every place that has them."""
+    key = np.full(len(tokens), U64(0xA0761D6478BD642F), np.uint64)
+    for n in range(1, min(max(lengths, default=0), len(tokens)) + 1):
+        key = (key[: len(tokens) - n + 1] ^ tokens[n - 1 :]) * U64(0x9FB21C651E98DF25)
+        key ^= key >> U64(29)
+        if n in lengths:
+            yield n, mix64(key ^ U64(n))
+
+
 @dataclass
 class Items:
     ids: np.ndarray
@@ -91,23 +108,35 @@ class Items:
     bitmap: np.ndarray
     keys: np.ndarray  # sorted
     item: np.ndarray  # for each key its item
-    offset: np.ndarray  # and the word of the item at which the window starts
+    offset: np.ndarray  # and the word of the item at which the window or piece starts
+    lengths: list[int]  # of the pieces of short items
 
     @classmethod
-    def of(cls, item_ids: list[int], texts: list[bytes]) -> Items:
+    def of(cls, item_ids: list[int], texts: list[bytes], percent: int = PERCENT) -> Items:
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         words, bounds = word_hashes(data, offsets, separators=SEPARATORS)
         tokens, ends = with_ends(words, bounds)
         item = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(bounds))
         offset = (np.arange(len(words)) - bounds[item]).astype(np.int32)
-        start = ends[item] + offset
-        found = [(k[ok], item[ok], offset[ok]) for k, ok in keys(tokens, start)]
+        short = np.diff(bounds) < SHORT
+        item, offset = item[~short[item]], offset[~short[item]]
+        found = [(k[ok], item[ok], offset[ok]) for k, ok in keys(tokens, ends[item] + offset)]
+        pieces = []
+        for i in np.flatnonzero(short).tolist():
+            n = int(bounds[i + 1] - bounds[i])
+            cuts = np.arange((many := min(percent * n // 100 + 1, n)) + 1) * n // max(many, 1)
+            pieces += [(i, a, b - a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        of, at, long = np.array(pieces, np.int32).reshape(-1, 3).T
+        lengths = sorted(set(long.tolist()))
+        for n, k in piece_keys(tokens, lengths):
+            own, first = of[long == n], at[long == n]
+            found.append((k[ends[own] + first], own, first))
         key, item, offset = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(key, kind="stable")
         bitmap = np.zeros(1 << BITMAP_BITS, bool)
         bitmap[(key >> U64(64 - BITMAP_BITS)).astype(np.int64)] = True
-        return cls(np.array(item_ids, np.int64), [tokens[ends[i] : ends[i + 1] - 1] for i in range(len(texts))], bitmap, key[order], item[order], offset[order])
+        return cls(np.array(item_ids, np.int64), [tokens[ends[i] : ends[i + 1] - 1] for i in range(len(texts))], bitmap, key[order], item[order], offset[order], lengths)
 
 
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -124,21 +153,31 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[best]), best
 
 
-def _candidates(tokens: np.ndarray, starts: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window start, item and offset of every key that a window shares with an item."""
+def _candidates(keyed: Iterator[tuple[np.ndarray, np.ndarray]], items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, item and offset of every key that the places of ``keyed`` (keys and their places) share with an item."""
     out = []
-    for key, ok in keys(tokens, starts):
-        hit = np.flatnonzero(ok & items.bitmap[(key >> U64(64 - BITMAP_BITS)).astype(np.int64)])
+    for key, at in keyed:
+        hit = np.flatnonzero(items.bitmap[(key >> U64(64 - BITMAP_BITS)).astype(np.int64)])
         if len(hit):
             low, high = np.searchsorted(items.keys, key[hit]), np.searchsorted(items.keys, key[hit], side="right")
             n = high - low
             which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((np.repeat(starts[hit], n), items.item[which], items.offset[which]))
+            out.append((np.repeat(at[hit], n), items.item[which], items.offset[which]))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _all_candidates(tokens: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The candidates for short items by their pieces, then for the others by windows, some windows at a time."""
+    yield _candidates(((k, np.arange(len(k))) for _, k in piece_keys(tokens, items.lengths)), items)
+    for a in range(0, len(starts), SIDE_BY_SIDE):
+        # Walks end within 64 words: only that part of the words is looked at.
+        some = starts[a : a + SIDE_BY_SIDE]
+        part = tokens[some[0] : some[-1] + max(SCALES) + 2]
+        yield _candidates(((k[ok], some[ok]) for k, ok in keys(part, some - some[0])), items)
+
+
 def find(data: np.ndarray, offsets: np.ndarray, items: Items, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
     """(text, item, distance, end word) of the items in each text of a block."""
     words, bounds = word_hashes(data, offsets, separators=SEPARATORS)
@@ -147,15 +186,11 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, percent: int = PER
     text = np.repeat(np.arange(len(counts)), counts)
     starts = ends[text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for a in range(0, len(starts), SIDE_BY_SIDE):
-        # Walks end within 64 words: only that part of the words is looked at.
-        low = starts[a]
-        part = tokens[low : starts[min(a + SIDE_BY_SIDE, len(starts)) - 1] + max(SCALES) + 2]
-        at, item, offset = _candidates(part, starts[a : a + SIDE_BY_SIDE] - low, items)
+    for at, item, offset in _all_candidates(tokens, starts, items):
         if not len(at):
             continue
-        begin = at + low - offset
-        of = np.searchsorted(ends, at + low, side="right") - 1
+        begin = at - offset
+        of = np.searchsorted(ends, at, side="right") - 1
         chosen = np.unique(np.stack([item, of, begin]), axis=1)
         for i in np.unique(chosen[0]).tolist():
             wanted = items.words[i]
@@ -173,6 +208,8 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, percent: int = PER
             shared = np.minimum(held, often).sum(axis=1)
             for c in np.flatnonzero(shared >= len(wanted) - allowed).tolist():
                 d = int(of[c])
+                if best.get((d, i), (1,))[0] == 0:
+                    continue  # places come in order: the first verbatim one is known
                 distance, end = edit_distance(wanted, tokens[first[c] : last[c]])
                 if distance <= allowed:
                     found = (distance, int(first[c]) + end - int(ends[d]))
@@ -193,7 +230,7 @@ def _find_task(items: Items, percent: int):
     return run
 
 
-def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
+def _item_blocks(benchmark: DataFrame, block_words: int, percent: int) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, one at a time on the driver."""
     held_ids: list[int] = []
     held: list[bytes] = []
@@ -201,14 +238,14 @@ def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
     for row in benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         n = len(row.text.split())
         if held and n > room:
-            yield Items.of(held_ids, held)
+            yield Items.of(held_ids, held, percent)
             held_ids, held, room = [], [], block_words
         if n:
             held_ids.append(row.item_id)
             held.append(row.text.encode())
             room -= n
     if held:
-        yield Items.of(held_ids, held)
+        yield Items.of(held_ids, held, percent)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -216,7 +253,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_w
     texts = ids(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, item_words long, distance long, end_word long"
     found = docs.sparkSession.createDataFrame([], schema)
-    for items in _item_blocks(benchmark, block_words):
+    for items in _item_blocks(benchmark, block_words, percent):
         found = found.union(arrow_map(texts, _find_task(items, percent), schema))
     return found
 
@@ -234,7 +271,7 @@ def _clean_task(items: Items, percent: int, text_at: int):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that hold no item, with all their columns: a filter, nothing is shuffled. Rows with a null id are judged too."""
-    for items in _item_blocks(benchmark, block_words):
+    for items in _item_blocks(benchmark, block_words, percent):
         docs = arrow_map(docs, _clean_task(items, percent, docs.columns.index("text")), docs.schema)
     return docs
 
