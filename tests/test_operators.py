@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vicinage.functions import sets as st
 from vicinage.operators import bloom, clustering, factorization, frequency, metric, sketches, sorting
 from vicinage.operators.similarity import BuildConfig, QueryConfig, build_index, top_k
+from vicinage.plans import vector_queries
 from vicinage.sources import images, index_store
 from vicinage.sources.tables import shared_path
 
@@ -202,6 +203,16 @@ def test_metric_search_is_exact(spark):
     assert metric.within(df.where("false"), df, st.euclidean, 0.2).count() == 0
 
 
+def test_nearest_other_recall_on_embeddings(spark, sf_dir):
+    rows = vector_queries.approximate_nearest(spark, sf_dir).collect()
+    data = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    vec_ids, x = np.array([r.vec_id for r in data]), np.array([r.embedding for r in data], float)
+    asked = vec_ids[vec_ids % 20 == 0]
+    assert sorted(r.id for r in rows) == asked.tolist() and all(r.other_id != r.id for r in rows)
+    d = {int(q): np.where(vec_ids == q, np.inf, np.sqrt(((x - x[vec_ids == q]) ** 2).sum(axis=1))) for q in asked}
+    assert np.mean([r.distance <= d[r.id].min() + 1e-6 for r in rows]) >= 0.9
+
+
 def test_dbscan_cases(spark):
     line = [(i * 0.5, 0) for i in range(6)] + [(20 + i * 0.5, 0) for i in range(6)] + [(100, 0)]
     got = {r.id: r for r in clustering.dbscan(points(spark, line), 0.6, 3, st.euclidean).collect()}

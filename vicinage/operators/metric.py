@@ -67,14 +67,14 @@ def nearest(items: DataFrame, queries: DataFrame, distance: Distance, k: int, n_
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def approximate_nearest(items: DataFrame, queries: DataFrame, distance: Distance, n_pivots: int = 16) -> DataFrame:
-    """The nearest item in the cell of each query's nearest pivot: ``id, other_id, distance``."""
-    pivots = pick_pivots(items, n_pivots)
-    cell = F.array_position("pivots", F.array_min("pivots")).alias("cell")
-    b = with_pivots(items.where("item is not null"), distance, pivots).select(F.col("id").alias("other_id"), F.col("item").alias("_b"), cell)
-    a = with_pivots(queries.where("item is not null"), distance, pivots).select("id", F.col("item").alias("_a"), cell)
-    scored = a.join(b, "cell").select("id", "other_id", distance(F.col("_a"), F.col("_b")).alias("distance"))
-    return scored.groupBy("id").agg(F.min(F.struct("distance", "other_id")).alias("m")).select("id", "m.other_id", "m.distance")
+def approximate_nearest(items: DataFrame, queries: DataFrame, distance: Distance, n_pivots: int = 16, others: bool = False) -> DataFrame:
+    """The nearest item of each query: ``id, other_id, distance``; with ``others``, of those with another id than the query's.
+
+    A query's own cell alone holds too few of the nearest items, so the search goes on to all cells that ``nearest`` can't rule out: recall is 1."""
+    found = nearest(items, queries, distance, 2 if others else 1, n_pivots)
+    if others:
+        found = found.where("other_id <> id")
+    return found.groupBy("id").agg(F.min(F.struct("distance", "other_id")).alias("m")).select("id", "m.other_id", "m.distance")
 
 
 def cell_sizes(items: DataFrame, distance: Distance, n_pivots: int = 16) -> DataFrame:

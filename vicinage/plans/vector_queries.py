@@ -118,7 +118,7 @@ def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("approximate_nearest")
 def approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).select("id", "item")
-    return metric.approximate_nearest(rows, rows.where("id % 20 = 0"), st.euclidean)
+    return metric.approximate_nearest(rows, rows.where("id % 20 = 0"), st.euclidean, others=True)
 
 
 @register("pivot_cells")
