@@ -238,3 +238,11 @@ def test_licences(make_docs):
     assert set(got) == {(4, "mit"), (5, "mit"), (6, "mit-grant"), (8, "mit-grant"), (9, "cc-by-nc-4.0"), (None, "mit")}
     assert got[4, "mit"] == (500, 1.0) and got[6, "mit-grant"] == (37, 1.0) and 0.9 < got[8, "mit-grant"][1] < 1
     assert license_scan.scan(make_docs([])).count() == 0
+
+
+def test_licence_templates_of_few_words(make_docs):
+    assert [license_scan.length_class(n) for n in (3, 4, 5, 8, 9)] == [4, 4, 8, 8, 16]
+    rows = [(1, "x " * 9 + "All rights reserved" + " y" * 9)]
+    assert [r.doc_id for r in license_scan.scan(make_docs(rows), (("all", "All rights reserved"),)).collect()] == [1]
+    with pytest.raises(ValueError, match="few"):
+        license_scan.scan(make_docs(rows), (("mit", "MIT License"),))

@@ -1,12 +1,12 @@
 """Licence scan: MinHash bands over overlapping windows retrieve templates, shingle containment verifies; DataFrame operations only.
 
 Words are runs of letters and digits, ASCII capitals folded; shingles are three words. Templates are grouped by length: class
-c (a power of two) holds those of more than c/2 and at most c words. Texts are cut into windows of 2c words every c words, so
+c (a power of two, at least 4) holds those of more than c/2 and at most c words; templates of fewer than three words are an error. Texts are cut into windows of 2c words every c words, so
 every passage of up to c words lies whole in a window.
 
 A window that holds the wanted 80 % of a template's shingles has a Jaccard similarity of at least 0.18 to the template (its share of
 at most 2c shingles). With ``BANDS`` = 64 bands of one row it shares a band with a probability above
-1 - (1 - 0.18)**64 > 0.999996. A band of one row can only be shared by a window that has one of the template's shingles, and a match
+1 - (1 - 0.18)**64 > 0.999996. For templates of three words, a single shingle of up to six, it is 1 - (5/6)**64 > 0.99999. A band of one row can only be shared by a window that has one of the template's shingles, and a match
 needs 80 % of them; windows with fewer hits than the smallest template of their class needs are therefore not
 hashed. That filter is exact: it drops no window that could match. Candidates are then verified on the full sets of shingles.
 
@@ -55,7 +55,7 @@ def template_words(text: str) -> list[str]:
 
 
 def length_class(n_words: int) -> int:
-    return max(8, 1 << (n_words - 1).bit_length())
+    return max(4, 1 << (n_words - 1).bit_length())
 
 
 def _once(value: str, name: str, body: str) -> str:
@@ -75,7 +75,9 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...])
     """``license, class, shingles`` (distinct hashes)."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are broadcast")
-    rows = [(name, words, length_class(len(words))) for name, text in templates if len(words := template_words(text)) >= SHINGLE]
+    rows = [(name, words, length_class(len(words))) for name, text in templates for words in [template_words(text)]]
+    if short := [name for name, words, _ in rows if len(words) < SHINGLE]:
+        raise ValueError(f"templates of fewer than {SHINGLE} words can't be shingled: {short}")
     return spark.createDataFrame(rows, "license string, w array<string>, class int").select("license", "class", F.expr(f"array_distinct({_shingles('w')})").alias("template"))
 
 
