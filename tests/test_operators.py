@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinage.functions import sets as st
-from vicinage.operators import bloom, clustering, factorization, frequency, metric, sketches, sorting
+from vicinage.operators import bloom, clustering, factorization, frequency, metric, signatures, sorting
 from vicinage.operators.similarity import BuildConfig, QueryConfig, build_index, top_k
 from vicinage.plans import vector_queries
 from vicinage.sources import images, index_store
@@ -39,12 +39,12 @@ def jaccard(a, b):
 
 
 def test_minhash_estimates_and_recall(spark, sets):
-    sig = {r.id: r.sig for r in sketches.MinHash(128).transform(sets).collect()}
+    sig = {r.id: r.sig for r in signatures.MinHash(128).transform(sets).collect()}
     assert 82 not in sig and sig[80] == [2**31 - 1] * 128
     items = {r.id: r.item for r in sets.collect() if r.item is not None}
     errors = [abs(sum(x == y for x, y in zip(sig[a], sig[b])) / 128 - jaccard(items[a], items[b])) for a in range(40) for b in range(a)]
     assert np.mean(errors) < 0.04
-    index = build_index(sets, sketches.MinHash(128), BuildConfig(32), config=QueryConfig(threshold=0.5))
+    index = build_index(sets, signatures.MinHash(128), BuildConfig(32), config=QueryConfig(threshold=0.5))
     found = {(r.id, r.other_id): r.score for r in index.self_join().collect()}
     true = {(a, b) for a in items for b in items if a != b and jaccard(items[a], items[b]) >= 0.5}
     assert set(found) == {(b, a) for a, b in found} and set(found) <= true
@@ -55,19 +55,19 @@ def test_minhash_estimates_and_recall(spark, sets):
 def test_weights_and_single_bits(spark, sets):
     ones = table(spark, [(e, 1) for e in range(400)], "element int, weight int")
     same = lambda x, y: {r.id: r.sig for r in x.transform(sets).collect()} == {r.id: r.sig for r in y.transform(sets).collect()}
-    assert same(sketches.MinHash(8), sketches.MinHash(8, weights=ones, max_weight=2))
+    assert same(signatures.MinHash(8), signatures.MinHash(8, weights=ones, max_weight=2))
     none = table(spark, [(7, 0)], "element int, weight int")
-    weighted = {r.id: r.sig for r in sketches.MinHash(8, weights=none, max_weight=2).transform(sets).collect()}
+    weighted = {r.id: r.sig for r in signatures.MinHash(8, weights=none, max_weight=2).transform(sets).collect()}
     assert weighted[83] == [2**31 - 1] * 8
-    bits = {r.id: r.sig for r in sketches.MinHash(64, single_bit=True).transform(sets).collect()}
-    full = {r.id: r.sig for r in sketches.MinHash(64).transform(sets).collect()}
+    bits = {r.id: r.sig for r in signatures.MinHash(64, single_bit=True).transform(sets).collect()}
+    full = {r.id: r.sig for r in signatures.MinHash(64).transform(sets).collect()}
     assert all([(bits[i][0] >> b) & 1 for b in range(64)] == [x & 1 for x in full[i]] for i in full)
     with pytest.raises(ValueError):
-        sketches.MinHash(60, single_bit=True)
+        signatures.MinHash(60, single_bit=True)
 
 
 def test_index_configs(spark, sets):
-    build = lambda **k: build_index(sets, sketches.MinHash(64), BuildConfig(16), config=QueryConfig(**k))
+    build = lambda **k: build_index(sets, signatures.MinHash(64), BuildConfig(16), config=QueryConfig(**k))
     pairs = {(r.id, r.other_id): r.collisions for r in build().candidate_pairs().collect()}
     assert (80, 81) in pairs, "two empty sets share every bucket"
     assert {(r.id, r.other_id): r.score for r in build(threshold=0.0).self_join().collect()}[80, 81] == 0.0
@@ -86,22 +86,22 @@ def test_index_configs(spark, sets):
         build(probes=6).candidates(sets).collect()
     with pytest.raises(ValueError):
         QueryConfig(partial_result_size=0)
-    hashed = build_index(sets, sketches.MinHash(64), BuildConfig(16, hash_bits=4), config=QueryConfig(threshold=0.5))
+    hashed = build_index(sets, signatures.MinHash(64), BuildConfig(16, hash_bits=4), config=QueryConfig(threshold=0.5))
     assert {(r.id, r.other_id) for r in build(threshold=0.5).self_join().collect()} <= {(r.id, r.other_id) for r in hashed.self_join().collect()}
     dist = build(threshold=0.5).with_score(lambda a, b: 1 - st.jaccard(a, b), "dist")
     assert {(r.id, r.other_id) for r in dist.self_join().collect()} == {(r.id, r.other_id) for r in build(threshold=0.5).self_join().collect()}
 
 
 def test_index_on_disk(spark, sets):
-    index = build_index(sets, sketches.MinHash(64), BuildConfig(16))
+    index = build_index(sets, signatures.MinHash(64), BuildConfig(16))
     path = shared_path(spark, "index")
     index_store.write_index(index, path)
-    back = index_store.read_index(spark, path, sketches.MinHash(64))
+    back = index_store.read_index(spark, path, signatures.MinHash(64))
     assert {(r.id, r.other_id) for r in back.candidate_pairs().collect()} == {(r.id, r.other_id) for r in index.candidate_pairs().collect()}
     wanted = index.bands.where("id = 3 and band = 5").select("slice")
     assert 3 in {r.id for r in index_store.lookup(back, 5, wanted).collect()}
     with pytest.raises(ValueError):
-        index_store.read_index(spark, path, sketches.MinHash(32))
+        index_store.read_index(spark, path, signatures.MinHash(32))
 
 
 def test_hyperplanes_projections_and_bits(spark):
@@ -110,36 +110,36 @@ def test_hyperplanes_projections_and_bits(spark):
     v[1] = -v[0]
     v[2] = 0
     rows = table(spark, [(i, x.tolist()) for i, x in enumerate(v)], "id long, item array<double>")
-    sig = {r.id: [(w >> b) & 1 for w in r.sig for b in range(64)] for r in sketches.Hyperplanes(128, 16).transform(rows).collect()}
-    planes = sketches.signs(128, 16)
+    sig = {r.id: [(w >> b) & 1 for w in r.sig for b in range(64)] for r in signatures.Hyperplanes(128, 16).transform(rows).collect()}
+    planes = signatures.signs(128, 16)
     assert all(sig[i] == [int(x) for x in (planes @ v[i] > 0)] for i in range(30))
     assert not any(sig[2]) and sum(a == b for a, b in zip(sig[0], sig[1])) == 0
-    p = sketches.Projections(8, 0.5, 16)
+    p = signatures.Projections(8, 0.5, 16)
     got = {r.id: r for r in p.transform(rows, with_cost=True).collect()}
     at = v @ p.vectors().T / 0.5
     assert all(got[i].sig == np.floor(at[i]).astype(int).tolist() for i in range(30))
     assert all(0 <= c <= 0.5 for r in got.values() for c in r.cost)
-    cut = {r.id: r.sig for r in sketches.Projections(8, 0.5, 16, rounding="trunc").transform(rows).collect()}
+    cut = {r.id: r.sig for r in signatures.Projections(8, 0.5, 16, rounding="trunc").transform(rows).collect()}
     assert all(cut[i] == np.trunc(at[i]).astype(int).tolist() for i in range(30))
     sparse = table(spark, [(0, [(3, 2.0), (17, -1.0)]), (1, [(3, 4.0), (17, -2.0)]), (2, [])], "id long, item array<struct<dim:int,value:double>>")
-    s = {r.id: r.sig for r in sketches.SparseHyperplanes(64).transform(sparse).collect()}
+    s = {r.id: r.sig for r in signatures.SparseHyperplanes(64).transform(sparse).collect()}
     assert s[0] == s[1] and s[2] == [0]
-    custom = sketches.CustomSketcher(2, lambda i: lambda x: F.size(x) + i).transform(rows)
+    custom = signatures.CustomSketcher(2, lambda i: lambda x: F.size(x) + i).transform(rows)
     assert custom.first().sig == [16, 17]
 
 
 def test_simhash_and_images(spark):
     rows = table(spark, [(0, ["a", "b", "c"]), (1, ["c", "b", "a"]), (2, []), (3, ["x"])], "id long, item array<string>")
-    sig = {r.id: r.sig for r in sketches.SimHash().transform(rows).collect()}
+    sig = {r.id: r.sig for r in signatures.SimHash().transform(rows).collect()}
     assert sig[0] == sig[1] and sig[2] == [0]
-    assert sig[3] == [spark.range(1).select(sketches.string_hash64(F.lit("x")).alias("h")).first().h]
-    low = {r.id: r.sig[0] & (2**64 - 1) for r in sketches.SimHash(compat32=True).transform(rows).collect()}
+    assert sig[3] == [spark.range(1).select(signatures.string_hash64(F.lit("x")).alias("h")).first().h]
+    low = {r.id: r.sig[0] & (2**64 - 1) for r in signatures.SimHash(compat32=True).transform(rows).collect()}
     assert all(v >> 32 == v & 0xFFFFFFFF for v in low.values())
     ramp = [[float(x + y) for x in range(32)] for y in range(32)]
     bright = [[p + 40 for p in row] for row in ramp]
     other = [[float((x * 7 + y * 3) % 11) for x in range(32)] for y in range(32)]
     pix = table(spark, [(0, ramp), (1, bright), (2, other)], "id long, item array<array<double>>")
-    h = {r.id: r.sig[0] for r in sketches.PHash().transform(pix).collect()}
+    h = {r.id: r.sig[0] for r in signatures.PHash().transform(pix).collect()}
     assert h[0] == h[1] != h[2] and h[0] & 1 == 0
 
 
@@ -310,7 +310,7 @@ def test_streams(spark, tmp_path):
 
     v = np.random.default_rng(5).standard_normal((20, 8))
     rows = table(spark, [(i, x.tolist()) for i, x in enumerate(v)], "id long, item array<double>")
-    index = build_index(rows, sketches.Hyperplanes(64, 8), BuildConfig(8))
+    index = build_index(rows, signatures.Hyperplanes(64, 8), BuildConfig(8))
     index.signatures.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, sig array<long>").parquet(str(tmp_path / "in"))
     run = stream_candidates(stream, index).writeStream.format("memory").queryName("found").trigger(availableNow=True).start()

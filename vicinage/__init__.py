@@ -1 +1 @@
-"""Similarity search, sketches and the analytics around them, as plain PySpark DataFrame plans."""
+"""Similarity search, its signatures and the analytics around them, as plain PySpark DataFrame plans."""

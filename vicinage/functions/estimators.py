@@ -1,4 +1,4 @@
-"""From equal components of two sketches to a similarity, and back; and the tuning of bands."""
+"""From equal components of two signatures to a similarity, and back; and the tuning of bands."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Sketches: items become short signatures whose equal components tell how similar the items are.
+"""Signatures: items become short sequences whose equal components tell how similar the items are.
 
 Every family has ``transform(df, id_column, item_column)``, which adds the signature ``sig`` to one row for each item,
 ``estimator``, and ``packed`` (signature of 64-bit words instead of integers). Null items are dropped; ids are assumed distinct.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import estimators as es
 from ..functions import sets as st
-from ..plans.shipping import ship
+from ..sources.shipping import ship
 from ..functions.hashing import Lcg, pack_bits, seeded_hash, seeded_hash16, seeded_parameters, string_hash64
 
 EMPTY = 2**31 - 1

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bit_slice
 from ..sources.tables import saved
-from .sketches import Sketcher
+from .signatures import Sketcher
 
 Score = Callable[[Column, Column], Column]
 

@@ -1,4 +1,4 @@
-"""Sketches of documents and similarity joins over them."""
+"""Documents: signatures, and similarity joins over them."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.estimators import inclusion_probability
 from ..functions.hashing import element_code, seeded_hash_sql, string_hash64
 from ..operators.similarity import BuildConfig, Index, QueryConfig, build_index
-from ..operators.sketches import EMPTY, Hamming, MinHash, SimHash
+from ..operators.signatures import EMPTY, Hamming, MinHash, SimHash
 from .inputs import COMMON_SQL, DOCS_SQL, ELEMENTS_SQL, PAIRS_SQL, SCORED_SQL, SIZES_SQL, WORDS_SQL, bands_sql, codes, document_items, load, minima_sql, same_sql, words
 from .registry import register
 

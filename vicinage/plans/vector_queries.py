@@ -9,7 +9,7 @@ from ..functions import sets as st
 from ..functions.hashing import seeded_hash16_sql
 from ..operators import clustering, metric
 from ..operators.similarity import BuildConfig, QueryConfig, build_index, top_k
-from ..operators.sketches import Hyperplanes, PHash, Projections, SparseHyperplanes, signs
+from ..operators.signatures import Hyperplanes, PHash, Projections, SparseHyperplanes, signs
 from .inputs import bands_sql, load, vectors
 from .registry import register
 

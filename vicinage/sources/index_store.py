@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.similarity import BuildConfig, Index, band_table
-from ..operators.sketches import Sketcher
+from ..operators.signatures import Sketcher
 
 
 def write_index(index: Index, path: str) -> None:
