@@ -45,20 +45,23 @@ def near_duplicates(rows, k, percent=80):
 
 
 def repeats(rows, length=100):
-    """rows: (id, text) -> {id: (n_bytes, n_removed, n_spans, sha256 of the rest)}"""
-    seen, out = set(), {}
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        body = (text or "").encode()
+    """rows: (id, text) -> sorted [(id, n_bytes, n_removed, n_spans, sha256 of the rest)], a place being (id, start)"""
+    bodies = [(i, (text or "").encode()) for i, text in rows]
+    first = {}
+    for i, body in bodies:
+        for p in range(len(body) - length + 1):
+            w = body[p : p + length]
+            first[w] = min(first.get(w, (i, p)), (i, p))
+    out = []
+    for i, body in bodies:
         covered = bytearray(len(body))
         for p in range(len(body) - length + 1):
-            window = body[p : p + length]
-            if window in seen:
+            if first[body[p : p + length]] < (i, p):
                 covered[p : p + length] = b"\1" * length
-            seen.add(window)
         rest = bytes(x for x, c in zip(body, covered) if not c)
         spans = sum(1 for p in range(len(body)) if covered[p] and (p == 0 or not covered[p - 1]))
-        out[i] = (len(body), sum(covered), spans, hashlib.sha256(rest).hexdigest())
-    return out
+        out.append((i, len(body), sum(covered), spans, hashlib.sha256(rest).hexdigest()))
+    return sorted(out)
 
 
 def base_statistics(text):

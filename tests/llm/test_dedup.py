@@ -1,6 +1,7 @@
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vicinage.llm import minhash_dedup, suffix_dedup
 
@@ -58,36 +59,65 @@ def repeat_rows(odd_rows):
     return odd_rows + more + [(400, "ab" * 400), (401, "x" * 99), (402, "x" * 100), (403, "x" * 100), (404, "é" * 90)]
 
 
-def test_repeats_match_brute_force(make_docs, odd_rows):
-    rows = repeat_rows(odd_rows)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(make_docs(rows)).collect()}
-    assert got == brute.repeats(rows)
+def judged(df):
+    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
 
 
-def test_repeats_edges(make_docs):
+def repeated_ids(rows):
+    """Rows that repeat as they are, and ids with several texts that share passages at equal and other places."""
+    passage = dict(rows)[12][:300]
+    return rows + rows[7:9] + [(7, "x" + dict(rows)[7])] + [(500, passage + " one"), (500, passage + " two"), (500, "later " + passage), (501, passage), (501, passage)] + [(502, "new " * 3 + dict(rows)[11])] * 3
+
+
+@pytest.mark.parametrize("hot", [None, "all"])
+def test_repeats_match_brute_force(make_docs, odd_rows, hot):
+    for rows in (repeat_rows(odd_rows), repeated_ids(repeat_rows(odd_rows))):
+        docs = make_docs(rows)
+        anchors = hot and suffix_dedup.hot_anchors(suffix_dedup._versioned(docs)[0], every=1, least=2)
+        assert anchors is None or len(anchors) > 10
+        assert judged(suffix_dedup.remove_repeats(docs, hot=anchors)) == brute.repeats(rows)
+
+
+def test_repeats_edges(spark, make_docs):
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
     text = "".join(chr(97 + (i * i) % 26) for i in range(300))
-    same_id = suffix_dedup.remove_repeats(make_docs([(1, text), (1, text), (None, text)])).collect()
-    assert [r.n_bytes for r in same_id] == [300, 300]
+    rows = [(1, text), (1, text)]
+    assert judged(suffix_dedup.remove_repeats(make_docs([*rows, (None, text)]))) == brute.repeats(rows)
+    assert suffix_dedup.without_repeats(make_docs(rows)).count() == 2, "a row that is merely repeated loses nothing it doesn't repeat itself"
     left = suffix_dedup.without_repeats(make_docs([(1, text), (2, text), (3, "short"), (4, None)]))
     assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4] and left.columns[:3] == ["doc_id", "text", "lang"]
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeats(make_docs([]), length=30)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "bytes", "removed", "left", "runs", "version", "_0", "at", "low"]
+    clash = make_docs([(1, "ab" * 90), (2, "cd" * 30 + "ab" * 90)]).select("*", *(F.lit(n).alias(n) for n in names))
+    got = {r.doc_id: r for r in suffix_dedup.without_repeats(clash).collect()}
+    assert got[2].text == "cd" * 30 and got[2].n_chars == 60 and all(got[2][n] == n for n in names)
+    assert judged(suffix_dedup.remove_repeats(clash)) == brute.repeats([(1, "ab" * 90), (2, "cd" * 30 + "ab" * 90)])
+
+
+def test_documents_are_not_cut_by_batches(make_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", 1)
+    rows = repeated_ids(repeat_rows(odd_rows))
+    columns = list(zip(*((7, 0, p, dict(rows)[7].encode()[p : p + 160]) for p in range(0, 400, 61))))
+    batch = suffix_dedup.pa.RecordBatch.from_arrays([suffix_dedup.pa.array(c) for c in columns], names=["doc_id", "version", "start", "part"])
+    assert sum(b.num_rows for b in suffix_dedup._resolve_task(100)(iter([batch]))) == 0
 
 
 def test_index_family_levels():
     rng = np.random.default_rng(2)
-    family, seen = suffix_dedup.IndexFamily(20), set()
-    for _ in range(30):
+    family, seen = suffix_dedup.IndexFamily(20), {}
+    for n in range(30):
         data = rng.integers(97, 99, 400).astype(np.uint8)
         starts = np.arange(381)
-        got = family.add(data, starts)
+        got = family.add(data, starts, np.stack([np.full(381, n), starts], axis=1))
         for s, g in zip(starts, got):
             w = data[s : s + 20].tobytes()
             assert g == (w in seen)
-            seen.add(w)
-    assert all(len(a) > 2 * len(b) for a, b in zip(family.levels, family.levels[1:]))
-    assert all((level[1:] > level[:-1]).all() for level in family.levels) and sum(map(len, family.levels)) == len(seen)
+            seen.setdefault(w, (n, s))
+    windows = [w for w, _ in family.levels]
+    assert all(len(a) > 2 * len(b) for a, b in zip(windows, windows[1:]))
+    assert all((w[1:] > w[:-1]).all() for w in windows) and sum(map(len, windows)) == len(seen)
+    assert {w: tuple(p) for level in family.levels for w, p in zip(level[0].tolist(), level[1].tolist())} == seen
 
 
 def test_long_texts_in_pieces():

@@ -1,52 +1,22 @@
-"""Intermediate tables in the folder that all executors share, and a few column helpers."""
+"""Access to the shared folder, and a few column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vicinage-"))
-            known = spark.sparkContext.getCheckpointDir()
-        folder = known
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+from ..sources.shipping import ship
+from ..sources.tables import dropped as drop_table
+from ..sources.tables import saved as table
+from ..sources.tables import shared_path as new_path
 
+__all__ = ["WORD_SPLIT", "arrow_map", "bucket_of", "drop_table", "ids", "load", "new_path", "partitions", "table"]
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table made by ``table`` that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:
@@ -67,18 +37,7 @@ def ids(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull())
 
 
-_shipped: set[str] = set()
-
-
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow``, after this package has been sent to the executors once for each application."""
-    context = df.sparkSession.sparkContext
-    package = Path(__file__).resolve().parent.parent
-    if context.applicationId not in _shipped and package.is_dir():
-        archive = Path(tempfile.mkdtemp(prefix="vicinage-")) / "vicinage-code.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for path in sorted(package.rglob("*.py")):
-                z.write(path, str(path.relative_to(package.parent)))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -18,17 +18,21 @@ in 39 is an anchor. The windows with one anchor form its context.
    and merges levels of equal size, so that each window is merged a logarithmic number of times.
 4. Marked windows are merged to runs by document and cut out of the texts.
 
-Hashes have 128 bits (anchor and context together) where they decide a removal; step 3 compares bytes.
+Hashes have 128 bits (anchor and context together) where they decide a removal; step 3 compares bytes. The number of shards follows the bytes of
+the input. A phrase that stands in very many different contexts would put them all in one shard: such hot anchors are found beforehand in a
+sample of the documents (one in ``SAMPLE_EVERY``, ``HOT`` contexts there), and each of their windows then is a shard of its own, by the hash of its bytes,
+so they spread evenly and are settled in step 2. The sample only routes; results don't depend on it.
 
 Defined results: null texts count as empty; texts shorter than ``length`` have no window and stay whole. Rows with a null id
-are left out. Ids should be distinct: each row that repeats an id is cut by the spans found for that id. An empty
-table gives an empty result. Extra columns are ignored.
+are left out. Rows that repeat an id are one document: a string at the same place of two of them isn't earlier in either, so nothing goes from
+a row that is merely repeated; one at an earlier place of another such row counts as earlier. An empty
+table gives an empty result. Extra columns are ignored, or kept by ``without_repeats``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +48,14 @@ PLACE_BITS = 24
 #: Anchors of a task that are held to settle repeats within it.
 HELD = 1 << 18
 BATCH = 4096
-ANCHOR = "kind byte, shard long, context long, doc_id long, at int, low int, high int"
+#: Rows of a shard's task, of a task that resolves, and what makes an anchor hot; at most so many are routed apart, the most frequent.
+SHARD_ROWS, OPEN_ROWS = 1_000_000, 20_000
+SAMPLE_EVERY, HOT, HOT_LISTED = 256, 64, 1 << 17
+ANCHOR = "kind byte, shard long, context long, doc_id long, version long, at int, low int, high int"
+ROW = ("doc", "version", "at", "low", "high")
 
 
-def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, hot: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """The anchors of a block of texts: text number, place of the anchor in its text, the first and last
     window start it stands for (relative to the anchor), and the hashes of anchor and context."""
     n = len(data)
@@ -75,95 +83,112 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH,
     last = np.append(first[1:], len(anchor)) - 1
     at, low, high, row = anchor[first], windows[first], windows[last], rows[first]
     context = span_hash(running, low, high + length) + mix64((at - low).astype(np.uint64))
-    return {"row": row, "at": at - offsets[row], "low": low - at, "high": high - at, "shard": hashes[at], "context": context}
-
-
-def merged_runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping or touching spans of one document become one."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    out_doc: list[int] = []
-    out_start: list[int] = []
-    out_end: list[int] = []
-    if len(doc):
-        new_doc = np.ones(len(doc), dtype=bool)
-        new_doc[1:] = doc[1:] != doc[:-1]
-        # The running maximum of ends within a document: documents are shifted apart first.
-        number = np.cumsum(new_doc) - 1
-        step = int(end.max()) + 1
-        reach = np.maximum.accumulate(end + number * step) - number * step
-        new = new_doc.copy()
-        new[1:] |= start[1:] > reach[:-1]
-        firsts = np.flatnonzero(new)
-        lasts = np.append(firsts[1:], len(doc)) - 1
-        return doc[firsts], start[firsts], reach[lasts]
-    return np.array(out_doc, np.int64), np.array(out_start, np.int64), np.array(out_end, np.int64)
-
-
-def _rows(kind: int, shard, context, doc, at, low, high) -> pa.RecordBatch:
+    found = {"row": row, "at": at - offsets[row], "low": low - at, "high": high - at, "shard": hashes[at], "context": context}
+    if hot is None or not len(hot):
+        return found
+    is_hot = hot[np.minimum(np.searchsorted(hot, found["shard"]), len(hot) - 1)] == found["shard"]
+    if not is_hot.any():
+        return found
+    # Every window of a hot anchor for itself: its bytes' hash is the shard, the anchor and its place in the window the rest of the key.
+    counts = (high - low + 1)[is_hot]
+    which = np.repeat(np.flatnonzero(is_hot), counts)
+    start = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    none = np.zeros(len(which), np.int64)
+    own = {"row": row[which], "at": start - offsets[row[which]], "low": none, "high": none, "shard": span_hash(running, start, start + length), "context": mix64(hashes[at[which]] + (at[which] - start).astype(np.uint64))}
+    return {k: np.concatenate([v[~is_hot], own[k]]) for k, v in found.items()}
+
+
+def merged_runs(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping or touching spans of one text become one."""
+    if not len(doc):
+        return doc, version, start, end
+    order = np.lexsort((start, version, doc))
+    doc, version, start, end = (x[order] for x in (doc, version, start, end))
+    new_text = np.ones(len(doc), dtype=bool)
+    new_text[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    # The running maximum of ends within a text: texts are shifted apart first.
+    number = np.cumsum(new_text) - 1
+    step = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + number * step) - number * step
+    new = new_text.copy()
+    new[1:] |= start[1:] > reach[:-1]
+    firsts = np.flatnonzero(new)
+    lasts = np.append(firsts[1:], len(doc)) - 1
+    return doc[firsts], version[firsts], start[firsts], reach[lasts]
+
+
+def _rows(kind: int, shard, context, doc, version, at, low, high) -> pa.RecordBatch:
     n = len(doc)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int8)), pa.array(shard.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
-        names=["kind", "shard", "context", "doc_id", "at", "low", "high"],
+        [pa.array(np.full(n, kind, np.int8)), *(pa.array(x.view(np.int64)) for x in (shard, context)), pa.array(doc), pa.array(version), *(pa.array(x.astype(np.int32)) for x in (at, low, high))],
+        names=["kind", "shard", "context", "doc_id", "version", "at", "low", "high"],
     )
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _spans(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Runs as rows of kind 1: ``at`` is 0, ``low`` and ``high`` are start and end; their shard spreads them."""
-    doc, start, end = merged_runs(doc, start, end)
+    doc, version, start, end = merged_runs(doc, version, start, end)
     none = np.zeros(len(doc), np.uint64)
-    return _rows(1, mix64(doc.astype(np.uint64)), none, doc, np.zeros(len(doc), np.int64), start, end)
-
-
-def first_of_each(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Marks the first row, by document and place, of each distinct key."""
-    order = np.lexsort((at, doc, *keys[::-1]))
-    new = np.zeros(len(doc), dtype=bool)
-    if len(doc):
-        new[order[0]] = True
-        differs = np.zeros(len(doc) - 1, dtype=bool)
-        for key in keys:
-            differs |= key[order[1:]] != key[order[:-1]]
-        new[order[1:][differs]] = True
-    return new
+    return _rows(1, mix64(doc.astype(np.uint64)), none, doc, version, np.zeros(len(doc), np.int64), start, end)
 
 
-def _anchor_task(length: int):
+def first_of_each(keys: list[np.ndarray], doc: np.ndarray, version: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two marks: the rows at the first place, by document and ``at``, of each distinct key, and those at later places. Of rows equal in all, one is marked."""
+    n = len(doc)
+    first, again = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    if n:
+        order = np.lexsort((version, at, doc, *keys[::-1]))
+        differs = lambda *columns: np.append(True, np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns]))
+        new = differs(*keys)
+        leader = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+        single = differs(*keys, doc, at, version)
+        tied = (doc[order] == doc[leader]) & (at[order] == at[leader])
+        first[order[tied & single]] = True
+        again[order[~tied & single]] = True
+    return first, again
+
+
+def _anchor_task(length: int, hot: np.ndarray):
     def settle(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         a = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        first = first_of_each([a["shard"], a["context"]], a["doc"], a["at"])
-        again = ~first
-        yield _spans(a["doc"][again], (a["at"] + a["low"])[again], (a["at"] + a["high"])[again] + length)
-        yield _rows(0, *(a[k][first] for k in ("shard", "context", "doc", "at", "low", "high")))
+        first, again = first_of_each([a["shard"], a["context"]], a["doc"], a["version"], a["at"])
+        yield _spans(a["doc"][again], a["version"][again], (a["at"] + a["low"])[again], (a["at"] + a["high"])[again] + length)
+        yield _rows(0, *(a[k][first] for k in ("shard", "context", *ROW)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         n = 0
-        for batch in batches:
-            doc_ids = batch.column(0).to_numpy()
-            for a, b, data, offsets in text_blocks(batch.column(1)):
-                for found in _in_pieces(data, offsets, length):
-                    row = found.pop("row")
-                    if len(row):
-                        held.append({**found, "doc": doc_ids[a:b][row]})
-                        n += len(row)
-                if n > HELD:
-                    yield from settle(held)
-                    held, n = [], 0
+        for found in _anchors(batches, length, hot):
+            held.append(found)
+            n += len(found["doc"])
+            if n > HELD:
+                yield from settle(held)
+                held, n = [], 0
         if held:
             yield from settle(held)
 
     return run
 
 
-def _in_pieces(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 << (PLACE_BITS - 1)) -> Iterator[dict[str, np.ndarray]]:
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Anchors of rows ``doc_id, version, text``, block by block."""
+    for batch in batches:
+        doc_ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for a, b, data, offsets in text_blocks(batch.column(2)):
+            for found in _in_pieces(data, offsets, length, hot=hot):
+                row = found.pop("row")
+                if len(row):
+                    yield {**found, "doc": doc_ids[a:b][row], "version": versions[a:b][row]}
+
+
+def _in_pieces(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 << (PLACE_BITS - 1), hot: np.ndarray | None = None) -> Iterator[dict[str, np.ndarray]]:
     """Anchors of a block; a single text longer than ``limit`` goes through in pieces that overlap by a window less one byte."""
     if len(data) <= limit:
-        yield window_anchors(data, offsets, length)
+        yield window_anchors(data, offsets, length, hot=hot)
         return
     for p in range(0, len(data) - length + 1, limit):
         part = data[p : p + limit + length - 1]
-        found = window_anchors(part, np.array([0, len(part)]), length)
+        found = window_anchors(part, np.array([0, len(part)]), length, hot=hot)
         found["at"] = found["at"] + p
         yield found
 
@@ -171,6 +196,14 @@ def _in_pieces(data: np.ndarray, offsets: np.ndarray, length: int, limit: int =
 def _settle_task(length: int):
     """A whole shard partition: settles equal contexts and passes on those that differ under one anchor."""
 
+    def shared(shard: np.ndarray) -> np.ndarray:
+        order = np.argsort(shard, kind="stable")
+        same = shard[order[1:]] == shard[order[:-1]]
+        out = np.zeros(len(shard), dtype=bool)
+        out[order[1:][same]] = True
+        out[order[:-1][same]] = True
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list[np.ndarray]] = []
         for batch in batches:
@@ -181,51 +214,46 @@ def _settle_task(length: int):
             rows.append([c[~is_span] for c in columns[1:]])
         if not rows:
             return
-        shard, context, doc, at, low, high = (np.concatenate(c) for c in zip(*rows))
+        a = dict(zip(("shard", "context", *ROW), (np.concatenate(c) for c in zip(*rows))))
         del rows
-        order = np.argsort(shard, kind="stable")
-        same = shard[order[1:]] == shard[order[:-1]]
-        shared = np.zeros(len(shard), dtype=bool)
-        shared[order[1:][same]] = True
-        shared[order[:-1][same]] = True
-        shard, context, doc, at, low, high = (x[shared] for x in (shard, context, doc, at, low, high))
-        first = first_of_each([shard, context], doc, at)
-        again = ~first
-        yield _spans(doc[again], (at + low)[again].astype(np.int64), (at + high)[again].astype(np.int64) + length)
-        shard, context, doc, at, low, high = (x[first] for x in (shard, context, doc, at, low, high))
-        order = np.argsort(shard, kind="stable")
-        same = shard[order[1:]] == shard[order[:-1]]
-        several = np.zeros(len(shard), dtype=bool)
-        several[order[1:][same]] = True
-        several[order[:-1][same]] = True
-        yield _rows(0, *(x[several] for x in (shard, context, doc, at, low, high)))
+        keep = shared(a["shard"])
+        a = {k: v[keep] for k, v in a.items()}
+        first, again = first_of_each([a["shard"], a["context"]], a["doc"], a["version"], a["at"])
+        yield _spans(a["doc"][again], a["version"][again], (a["at"] + a["low"])[again].astype(np.int64), (a["at"] + a["high"])[again].astype(np.int64) + length)
+        a = {k: v[first] for k, v in a.items()}
+        # Rows tied at the first place of one context hold no earlier string for each other.
+        kinds, _ = first_of_each([a["shard"], a["context"]], *(np.zeros(len(a["doc"]), np.int64) for _ in range(3)))
+        several = np.isin(a["shard"], a["shard"][kinds][shared(a["shard"][kinds])])
+        yield _rows(0, *(v[several] for v in a.values()))
 
     return run
 
 
 class IndexFamily:
     """Suffix arrays in levels of doubling size. ``add`` takes the next batch of texts in corpus order and tells which of their
-    windows occur earlier."""
+    windows occur at an earlier place. A level holds its windows in order, and the first place of each."""
 
     def __init__(self, length: int = LENGTH):
         self.length = length
-        self.levels: list[np.ndarray] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # windows, (document, place)
 
-    def add(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """``starts``: places of the windows, in corpus order. Returns a mark for each."""
+    def add(self, data: np.ndarray, starts: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """``starts``: where the windows are in ``data``; ``place``: their (document, place) as rows of two, ascending. Returns a mark for each."""
         views = np.lib.stride_tricks.sliding_window_view(data, self.length)[starts]
         suffixes = np.ascontiguousarray(views).view(f"S{self.length}").reshape(-1)
         order = self._suffix_array(views, suffixes)
         ranked = suffixes[order]
         fresh = np.ones(len(ranked), dtype=bool)
         fresh[1:] = ranked[1:] != ranked[:-1]
-        seen = np.ones(len(starts), dtype=bool)
-        distinct, firsts = ranked[fresh], order[fresh]  # the order is stable: the first of equal windows leads
+        distinct, first = ranked[fresh], place[order[fresh]]  # the order is stable: the first of equal windows leads
         known = np.zeros(len(distinct), dtype=bool)
-        for level in self.levels:
-            known |= self._in_level(level, distinct)
-        seen[firsts[~known]] = False
-        self._insert(distinct[~known])
+        for windows, places in self.levels:
+            mine, theirs = self._merge_scan(windows, distinct)
+            known[mine] = True
+            first[mine] = places[theirs]
+        seen = np.empty(len(starts), dtype=bool)
+        seen[order] = (place[order] != first[np.cumsum(fresh) - 1]).any(axis=1)
+        self._insert(distinct[~known], first[~known])
         return seen
 
     @staticmethod
@@ -244,41 +272,54 @@ class IndexFamily:
         return order
 
     @staticmethod
-    def _in_level(level: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-        place = np.searchsorted(level, distinct)
-        inside = place < len(level)
-        found = np.zeros(len(distinct), dtype=bool)
-        found[inside] = level[place[inside]] == distinct[inside]
-        return found
-
-    def _insert(self, distinct: np.ndarray) -> None:
-        if len(distinct):
-            self.levels.append(distinct)
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            small, large = self.levels.pop(), self.levels.pop()
-            self.levels.append(np.insert(large, np.searchsorted(large, small), small))
+    def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two ordered arrays as one: the stable sort finds both runs and merges them in one pass. Also the order."""
+        both = np.concatenate([a, b])
+        order = np.argsort(both, kind="stable")
+        return both[order], order
+
+    def _merge_scan(self, level: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the batch and in the level of windows that both have: neighbours in the merged order."""
+        merged, order = self._merged(level, batch)
+        at = np.flatnonzero(merged[1:] == merged[:-1])
+        return order[at + 1] - len(level), order[at]
+
+    def _insert(self, windows: np.ndarray, places: np.ndarray) -> None:
+        if len(windows):
+            self.levels.append((windows, places))
+        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
+            (small, new), (large, old) = self.levels.pop(), self.levels.pop()
+            merged, order = self._merged(large, small)
+            self.levels.append((merged, np.concatenate([old, new])[order]))
 
 
 def _resolve_task(length: int):
-    def batch_of(family: IndexFamily, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        # rows: document, first window's start in it, bytes from there to the last window's end
-        sizes = np.array([len(r[2]) for r in rows])
+    def batch_of(family: IndexFamily, rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        # rows: document, version, first window's start in it, bytes from there to the last window's end
+        sizes = np.array([len(r[3]) for r in rows])
         ends = np.cumsum(sizes)
         counts = sizes - length + 1
         which = np.repeat(np.arange(len(rows)), counts)
         within = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-        seen = family.add(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), (ends - sizes)[which] + within)
-        doc = np.array([r[0] for r in rows], np.int64)[which[seen]]
-        start = np.array([r[1] for r in rows], np.int64)[which[seen]] + within[seen]
-        return _spans(doc, start, start + length)
+        doc, version, start = (np.array([r[i] for r in rows], np.int64)[which] for i in range(3))
+        start += within
+        # Contexts of one text overlap: windows go in by their place.
+        order = np.lexsort((start, doc))
+        seen = np.empty(len(which), dtype=bool)
+        seen[order] = family.add(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), ((ends - sizes)[which] + within)[order], np.stack([doc, start], axis=1)[order])
+        return _spans(doc[seen], version[seen], start[seen], start[seen] + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, held = IndexFamily(length), []
         for batch in batches:
-            held.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            while len(held) >= BATCH:
-                yield batch_of(family, held[:BATCH])
-                held = held[BATCH:]
+            held.extend(zip(*(c.to_pylist() for c in batch.columns)))
+            while True:
+                # Texts that share an id may overlap in places, so a document isn't cut in two; a task's rows are bounded.
+                n = next((i for i in range(BATCH, len(held)) if held[i][0] != held[i - 1][0]), 0)
+                if not n:
+                    break
+                yield batch_of(family, held[:n])
+                held = held[n:]
         if held:
             yield batch_of(family, held)
 
@@ -290,94 +331,122 @@ def _context_task(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            shards, docs, starts, parts = [], [], [], []
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+            shards, docs, versions, starts, parts = [], [], [], [], []
+            for doc, version, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist()):
                 body = memoryview(text.as_buffer())
                 for c in wanted:
                     low, high = c["at"] + c["low"], c["at"] + c["high"] + length
-                    if high > len(body):  # a place in another row with this id
-                        continue
                     shards.append(c["shard"])
                     docs.append(doc)
+                    versions.append(version)
                     starts.append(low)
                     parts.append(bytes(body[low:high]))
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["shard", "doc_id", "start", "part"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (shards, docs, versions)), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["shard", "doc_id", "version", "start", "part"])
 
     return run
 
 
 def _cut_task(with_text: bool):
+    """From ``text, runs`` and other columns: sizes, digest and, if wanted, what is left of the text, then the other columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            removed, spans, digests, kept_texts = [], [], [], []
-            for text, runs in zip(texts, batch.column(2).to_pylist()):
-                body = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
-                runs = sorted((r["low"], min(r["high"], len(body))) for r in runs or () if r["low"] < len(body))
-                kept, at, gone, n = [], 0, 0, 0
-                last = -1
-                for low, high in runs:
-                    if low > last or not n:
-                        n += 1
-                    if low > at:
-                        kept.append(body[at:low])
-                    gone += max(0, high - max(low, at))
-                    at = max(at, high)
-                    last = max(last, high)
-                kept.append(body[at:])
-                rest = b"".join(kept)
-                removed.append(gone)
-                spans.append(n)
-                digests.append(hashlib.sha256(rest).hexdigest())
-                if with_text:
-                    # A cut may fall inside a character; what is left of it is dropped.
-                    kept_texts.append(rest.decode("utf-8", "ignore") if text.is_valid else None)
-            columns = [batch.column(0), pa.array([t.as_buffer().size if t.is_valid else 0 for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests)]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                columns, names = [*columns, pa.array(kept_texts, pa.string()), *batch.columns[3:]], [*names, "text", *batch.schema.names[3:]]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield cut(batch)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(0).cast(pa.large_binary())
+        sizes, removed, spans, digests, left = [], [], [], [], []
+        for text, runs in zip(texts, batch.column(1).to_pylist()):
+            body = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
+            kept, at, n, last = [], 0, 0, -1
+            for low, high in sorted((r["low"], r["high"]) for r in runs or ()):
+                n += low > last
+                if low > at:
+                    kept.append(body[at:low])
+                at = last = max(at, high)
+            kept.append(body[at:])
+            rest = b"".join(kept)
+            sizes.append(len(body))
+            removed.append(len(body) - len(rest))
+            spans.append(n)
+            digests.append(hashlib.sha256(rest).hexdigest())
+            # A cut may fall inside a character; what is left of it is dropped.
+            left.append(rest.decode("utf-8", "ignore") if with_text and text.is_valid else None)
+        columns = [*(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digests, pa.string()), pa.array(left, pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=["bytes", "removed", "spans", "sha256", "left", *batch.schema.names[2:]])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, low, high``: byte spans to remove; they may overlap."""
+def _sample_task(length: int):
+    """The distinct anchors and contexts of sampled rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _anchors(batches, length):
+            pairs = np.unique(np.stack([found["shard"], found["context"]], axis=1), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["shard", "context"])
+
+    return run
+
+
+def hot_anchors(texts: DataFrame, length: int = LENGTH, every: int = SAMPLE_EVERY, least: int = HOT) -> np.ndarray:
+    """Hashes, ascending, of the anchors that have at least ``least`` contexts in the sampled documents; counted where they are, and only long lists' ends are left out."""
+    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    counts = arrow_map(sampled, _sample_task(length), "shard long, context long").groupBy("shard").agg(F.approx_count_distinct("context").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r.shard for r in counts.orderBy(F.col("n").desc(), "shard").limit(HOT_LISTED).collect()], np.int64).view(np.uint64))
+
+
+def _versioned(docs: DataFrame, *rest: str) -> tuple[DataFrame, int, bool]:
+    """``doc_id, version, text`` and the columns ``rest`` as ``_0, _1, ...``; the bytes of all texts; whether ids repeat. Texts of one id are told apart by a hash, if any id has several; otherwise ``version`` is 0."""
+    text = F.col("text").cast("string")
+    rows = ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)))
+    by_id = rows.groupBy("doc_id").agg(F.min("version").alias("a"), F.max("version").alias("b"), F.count("*").alias("rows"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("n"))
+    found = by_id.agg(F.sum("n").alias("n"), F.bool_or(F.col("a") != F.col("b")).alias("several"), F.max("rows").alias("rows")).first()
+    return rows if found.several else rows.withColumn("version", F.lit(0).cast("long")), found.n or 0, (found.rows or 0) > 1
+
+
+def repeated_spans(texts: DataFrame, n_bytes: int, repeats: bool, length: int = LENGTH, hot: np.ndarray | None = None) -> DataFrame:
+    """``doc_id, version, low, high`` of ``doc_id, version, text``: byte spans to remove; they may overlap."""
     if length < 2 * GRAM:
         raise ValueError(f"matches of fewer than {2 * GRAM} bytes aren't supported")
-    spark = docs.sparkSession
-    texts = ids(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    shards = arrow_map(texts, _anchor_task(length), ANCHOR).repartition(4 * partitions(spark), "shard")
+    spark = texts.sparkSession
+    texts = texts.select("doc_id", "version", "text").where(F.octet_length("text") >= length)
+    hot = hot_anchors(texts, length) if hot is None else hot
+    n = max(partitions(spark), 2 * n_bytes // (length - GRAM + 2) // SHARD_ROWS)
+    shards = arrow_map(texts, _anchor_task(length, hot), ANCHOR).repartition(n, "shard")
     settled = table(arrow_map(shards, _settle_task(length), ANCHOR), "settled")
     open_contexts = settled.where("kind = 0")
-    by_doc = open_contexts.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "at", "low", "high")).alias("wanted"))
-    contexts = arrow_map(texts.join(by_doc, "doc_id"), _context_task(length), "shard long, doc_id long, start int, part binary")
-    n = max(partitions(spark), open_contexts.count() // 20_000)
-    batches = contexts.repartition(n, "shard").sortWithinPartitions("doc_id", "start").select("doc_id", "start", "part")
+    by_doc = open_contexts.groupBy("doc_id", "version").agg(F.collect_list(F.struct("shard", "at", "low", "high")).alias("wanted"))
+    one_each = texts.dropDuplicates(["doc_id", "version"]) if repeats else texts
+    contexts = arrow_map(one_each.join(by_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted"), _context_task(length), "shard long, doc_id long, version long, start int, part binary")
+    n = max(partitions(spark), open_contexts.count() // OPEN_ROWS)
+    batches = contexts.repartition(n, "shard").sortWithinPartitions("doc_id", "version", "start").select("doc_id", "version", "start", "part")
     resolved = arrow_map(batches, _resolve_task(length), ANCHOR)
-    return settled.where("kind = 1").union(resolved).select("doc_id", "low", "high")
+    return settled.where("kind = 1").union(resolved).select("doc_id", "version", "low", "high")
+
+
+def _cut(docs: DataFrame, length: int, hot: np.ndarray | None, with_text: bool = False, rest: Sequence[str] = ()) -> DataFrame:
+    """``bytes, removed, spans, sha256, left, doc_id`` (``left``: the remaining text, if wanted) and the columns ``rest`` as ``_0, _1, ...``."""
+    texts, n_bytes, repeats = _versioned(docs, *rest)
+    spans = table(repeated_spans(texts, n_bytes, repeats, length, hot), "spans").groupBy("doc_id", "version").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    names = [f"_{i}" for i in range(len(rest))]
+    joined = texts.join(spans, ["doc_id", "version"], "left").select("text", "runs", "doc_id", *names)
+    kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, rest))
+    return arrow_map(joined, _cut_task(with_text), "bytes long, removed long, spans long, sha256 string, left string, doc_id long" + kinds)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """One row for each document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``; with ``with_text`` also the text
-    that is left and the document's other columns."""
-    spans = table(repeated_spans(docs, length), "spans").groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
-    texts = ids(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(rest)))
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "runs", *(f"_{i}" for i in range(len(rest))))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "") + "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
-    cut = arrow_map(joined, _cut_task(with_text), schema)
-    return cut.withColumnsRenamed({f"_{i}": c for i, c in enumerate(rest)})
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: np.ndarray | None = None) -> DataFrame:
+    """One row for each document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``. ``hot``: anchors to route apart, found by ``hot_anchors`` if None."""
+    return _cut(docs, length, hot).select("doc_id", F.col("bytes").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot: np.ndarray | None = None) -> DataFrame:
     """The documents with what is left of their texts, those of which nothing is left excepted; all columns stay, and
     ``n_chars``, if there is one, is counted anew."""
-    left = remove_repeats(docs, length, with_text=True).where("n_removed = 0 or length(trim(text)) > 0")
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(docs.columns)
+    new = {"text": F.col("left"), "n_chars": F.length("left")}
+    rest = [c for c in docs.columns if c not in new]
+    left = _cut(docs, length, hot, with_text=True, rest=rest).where("removed = 0 or length(trim(left)) > 0")
+    return left.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_{rest.index(c)}")).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,13 +454,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents where doc_id is not null),
-w as (select doc_id, p, md5(substr(h, 2 * p + 1, {2 * LENGTH})) as s from (select doc_id, h, unnest(range(0, n - {LENGTH - 1})) as p from d)),
-f as (select doc_id, p, row_number() over (partition by s order by doc_id, p) as nth from w),
-g as (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + {LENGTH} then 1 else 0 end as new from f where nth > 1),
-k as (select doc_id, p, sum(new) over (partition by doc_id order by p rows unbounded preceding) as run from g),
-r as materialized (select doc_id, run, min(p) as low, max(p) + {LENGTH} as high from k group by all),
-c as (select doc_id, low, high, coalesce(lag(high) over (partition by doc_id order by low), 0) as before from r),
-a as (select doc_id, sum(high - low) as gone, count(*) as spans, max(high) as last, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' order by low) as head from c join d using (doc_id) group by doc_id)
-select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from d left join a using (doc_id)
+with d as materialized (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents where doc_id is not null),
+w as (select rid, doc_id, p, md5(substr(h, 2 * p + 1, {2 * LENGTH})) as s from (select rid, doc_id, h, unnest(range(0, n - {LENGTH - 1})) as p from d)),
+f as (select rid, p, rank() over (partition by s order by doc_id, p) as nth from w),
+g as (select rid, p, case when p > lag(p) over (partition by rid order by p) + {LENGTH} then 1 else 0 end as new from f where nth > 1),
+k as (select rid, p, sum(new) over (partition by rid order by p rows unbounded preceding) as run from g),
+r as materialized (select rid, run, min(p) as low, max(p) + {LENGTH} as high from k group by all),
+c as (select rid, low, high, coalesce(lag(high) over (partition by rid order by low), 0) as before from r),
+a as (select rid, sum(high - low) as gone, count(*) as spans, max(high) as last, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' order by low) as head from c join d using (rid) group by rid)
+select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from d left join a using (rid)
 """
