@@ -1,18 +1,19 @@
 """WARC archives: write, read back, and merge sorted capture runs into capture histories.
 
 1. Digests decide record types on slim rows: of equal payloads of at least ``LEAST_BYTES`` bytes the smallest page id is a response
-   and the others revisit it. A hot digest is pre-aggregated, and the join back is on slim rows.
+   and the others revisit it. A hot digest is pre-aggregated, and the join back, by page id and digest, is on slim rows.
 2. Each task writes archives of one gzip member a record, of at most ``ARCHIVE_BYTES``, into the shared folder. File names
    are unique to the attempt, and only files that a finished task reports are read: a retried task leaves nothing behind that counts.
 3. Each archive is read back from its first byte to its last, digests are verified, and its captures are sorted by URL key (host
    labels reversed), time and page id into a run: a Parquet file of small row groups.
-4. Runs are merged through a loser tree, at most ``FAN_IN`` at a time, in passes if there are more. The last pass cuts the
-   key space into ranges at quantiles of a bounded sample of keys, time and page id included, so one URL that makes a third of all captures is
-   cut as well; a range's task reads only the row groups that overlap it, and holds one of each run.
+4. Runs are merged through a loser tree, ``FAN_IN`` at a time, in passes if there are more. Every merge, that of an intermediate pass too, is cut into
+   ranges of the key space (about ``RANGE_ROWS`` captures) at quantiles of a bounded sample of keys, time and page id included, so one URL that makes a third of all
+   captures is cut as well. A range is a task; it reads only the parts of runs, and in them the row groups, that overlap it by the whole key, and holds one of each run.
+   A merged run is a list of such parts. A part offers at most ``MOST_CUTS`` keys as cuts.
 
 Pages carry no time: a capture's time is the start of 2024 plus as many seconds as the page id. Defined results: a null html is an empty payload. Rows with a null
-page id are left out; of rows that repeat an id each gives a record. Null urls have an empty key; control characters and spaces of urls are
-percent-encoded. Ties in key and time are ordered by page id. An empty table gives an empty result. Extra columns are ignored.
+page id are left out; every other row gives one record, those that repeat an id too: each is judged by its own payload, and rows with the smallest page id of a payload are all responses. Null urls
+have an empty key; control characters and spaces of urls are percent-encoded. Ties in key and time are ordered by page id. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import chain, islice
 
 import pyarrow as pa
 import pyarrow.fs
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 from ._store import arrow_map, load, new_path, partitions, table
 
 LEAST_BYTES, ARCHIVE_BYTES, FAN_IN, GROUP_ROWS, RANGE_ROWS = 100, 16 << 20, 64, 2048, 100_000
-#: Every so many-th capture of a run is offered as a cut, and so many of them are looked at.
-CUT_EVERY, CUTS_SEEN = 256, 20_000
+#: Every so many-th capture of a part is offered as a cut (fewer where that is more than ``MOST_CUTS``), and so many of them are looked at for a merge.
+CUT_EVERY, MOST_CUTS, CUTS_SEEN = 256, 1024, 20_000
+#: Names that Hadoop's connectors and pyarrow give one store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 CAPTURE = pa.schema(
     [("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
@@ -43,12 +47,14 @@ ORDER = ("url_key", "captured", "page_id")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_types(pages: DataFrame) -> DataFrame:
-    """``page_id, refers_to`` of the pages that revisit another."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    slim = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= LEAST_BYTES)
+def with_record_types(pages: DataFrame) -> DataFrame:
+    """Adds ``refers_to``, the page that a row of ``page_id, url, html`` revisits, or null."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.withColumn("digest", F.sha2(payload, 256))
+    slim = rows.where(F.octet_length(payload) >= LEAST_BYTES).select("page_id", "digest")
     firsts = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").select("digest", "refers_to")
-    return slim.join(firsts, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    later = slim.join(firsts, "digest").where("page_id > refers_to").distinct()
+    return rows.join(later, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def encoded_url(url: str) -> str:
@@ -124,6 +130,8 @@ def parse(body: bytes) -> tuple[tuple, bytes | None]:
 
 
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    scheme, mark, rest = uri.partition("://")
+    uri = SCHEMES.get(scheme, scheme) + mark + rest
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -151,9 +159,9 @@ def _write_task(folder: str, archive_bytes: int):
     return run
 
 
-def write_run(fs: pa.fs.FileSystem, path: str, rows: Iterator[tuple], cut_every: int = CUT_EVERY) -> tuple[int, list[str]]:
-    """Rows in order as a Parquet file of small row groups; returns their number and the offered cuts."""
-    n, cuts, held = 0, [], []
+def write_run(fs: pa.fs.FileSystem, path: str, rows: Iterator[tuple], cut_every: int = CUT_EVERY) -> tuple[int, list[tuple], tuple | None, tuple | None]:
+    """Rows in order as a Parquet file of small row groups; returns their number, the offered cuts, and the first and last key."""
+    n, cuts, held, first, last = 0, [], [], None, None
     with fs.open_output_stream(path) as sink, pq.ParquetWriter(sink, CAPTURE, compression="zstd") as writer:
 
         def flush() -> None:
@@ -162,24 +170,29 @@ def write_run(fs: pa.fs.FileSystem, path: str, rows: Iterator[tuple], cut_every:
             held.clear()
 
         for row in rows:
+            last = row[:3]
+            first = first or last
             if n % cut_every == 0:
-                cuts.append(row[:3])
+                cuts.append(last)
+                if len(cuts) > MOST_CUTS:
+                    cuts, cut_every = cuts[::2], 2 * cut_every
             held.append(row)
             n += 1
             if len(held) == GROUP_ROWS:
                 flush()
         flush()
-    return n, cuts
+    return n, cuts, first, last
 
 
-def _run_batch(name: str, n: int, cuts: list[tuple]) -> pa.RecordBatch:
-    keys, times, pages = zip(*cuts) if cuts else ((), (), ())
-    cut_type = pa.list_(pa.struct([("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64())]))
-    found = pa.array([[{"url_key": k, "captured": t, "page_id": p} for k, t, p in zip(keys, times, pages)]], cut_type)
-    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), found], names=["run", "n", "cuts"])
+KEY = pa.struct([("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64())])
+KEY_SQL = "struct<url_key:string,captured:string,page_id:long>"
+PART = f"run string, part int, file string, n long, cuts array<{KEY_SQL}>, first {KEY_SQL}, last {KEY_SQL}"
 
 
-RUN = "run string, n long, cuts array<struct<url_key:string,captured:string,page_id:long>>"
+def _part_batch(run: str, part: int, file: str, n: int, cuts: list[tuple], first: tuple | None, last: tuple | None) -> pa.RecordBatch:
+    named = lambda key: key and dict(zip(ORDER, key))
+    columns = [pa.array([run]), pa.array([part], pa.int32()), pa.array([file]), pa.array([n], pa.int64()), pa.array([[named(c) for c in cuts]], pa.list_(KEY)), pa.array([named(first)], KEY), pa.array([named(last)], KEY)]
+    return pa.RecordBatch.from_arrays(columns, names=["run", "part", "file", "n", "cuts", "first", "last"])
 
 
 def _sort_task(folder: str, cut_every: int):
@@ -190,18 +203,31 @@ def _sort_task(folder: str, cut_every: int):
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as source:
                     rows = sorted((parse(body)[0] for body in members(source)), key=lambda r: r[:3])
                 made = f"run-{uuid.uuid4().hex}.parquet"
-                yield _run_batch(made, *write_run(fs, f"{root}/{made}", iter(rows), cut_every))
+                yield _part_batch(made, 0, made, *write_run(fs, f"{root}/{made}", iter(rows), cut_every))
 
     return run
 
 
+def group_bounds(group: pq.RowGroupMetaData) -> tuple[tuple, tuple]:
+    """The least and the largest key of an ordered row group, as far as its statistics tell: a column's bounds hold within one value of those before it."""
+    least, most = (), ()
+    for i in range(3):
+        stats = group.column(i).statistics
+        if stats is None or not stats.has_min_max:
+            break
+        least, most = (*least, stats.min), (*most, stats.max)
+        if stats.min != stats.max:
+            break
+    return least, most
+
+
 def run_rows(fs: pa.fs.FileSystem, path: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
-    """The rows of a run from ``low`` up to, not including, ``high``, a row group at a time."""
+    """The rows of a part from ``low`` up to, not including, ``high``, a row group at a time."""
     with fs.open_input_file(path) as source:
         file = pq.ParquetFile(source)
         for g in range(file.metadata.num_row_groups):
-            stats = file.metadata.row_group(g).column(0).statistics
-            if stats is not None and stats.has_min_max and ((low and stats.max < low[0]) or (high and stats.min > high[0])):
+            least, most = group_bounds(file.metadata.row_group(g))
+            if (low and most < low[: len(most)]) or (high and least > high[: len(least)]):
                 continue
             for row in zip(*(c.to_pylist() for c in file.read_row_group(g).columns)):
                 if (not low or row[:3] >= low) and (not high or row[:3] < high):
@@ -244,65 +270,79 @@ class LoserTree:
             self.winner = w
 
 
-def _merge_group_task(folder: str, cut_every: int):
+def merge_plan(parts: DataFrame, groups: DataFrame, cut_every: int, range_rows: int) -> DataFrame:
+    """``g, r, low, high, sources``: the ranges of every group's keys and the parts of its runs that overlap each. ``groups``: run, g."""
+    spark = parts.sparkSession
+    own = parts.where("n > 0").join(groups, "run")
+    wanted = F.expr(f"greatest(1L, least({partitions(spark)}L, cast(ceil(n / {4 * cut_every}) as bigint)), n div {range_rows})")
+    sizes = own.groupBy("g").agg(F.sum("n").alias("n")).select("g", wanted.alias("wanted"))
+    by_hash = Window.partitionBy("g").orderBy(F.xxhash64("c"), "c")
+    seen = own.select("g", F.explode("cuts").alias("c")).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= CUTS_SEEN)
+    listed = seen.groupBy("g").agg(F.array_sort(F.collect_list("c")).alias("c")).join(sizes, "g")
+    cuts = listed.select("g", F.expr("array_distinct(if(wanted > 1, transform(sequence(1L, wanted - 1), i -> get(c, cast(i * size(c) div wanted as int))), slice(c, 1, 0)))").alias("c"))
+    none = F.array(F.lit(None).cast(KEY_SQL))
+    ends = F.arrays_zip(F.concat(none, "c").alias("low"), F.concat("c", none).alias("high"))
+    ranges = cuts.select("g", F.posexplode(ends).alias("r", "b")).select("g", "r", "b.low", "b.high")
+    overlap = own.select("g", "run", "part", "file", "first", "last").join(ranges, "g").where("(low is null or last >= low) and (high is null or first < high)")
+    return overlap.groupBy("g", "r", "low", "high").agg(F.array_sort(F.collect_list(F.struct("run", "part", "file"))).alias("sources")).select("g", "r", "low", "high", "sources")
+
+
+def _merged(fs: pa.fs.FileSystem, root: str, row: dict) -> Iterator[tuple]:
+    low, high = (row[k] and tuple(row[k][c] for c in ORDER) for k in ("low", "high"))
+    runs: dict[str, list[str]] = {}
+    for source in row["sources"]:
+        runs.setdefault(source["run"], []).append(source["file"])
+    return iter(LoserTree([chain.from_iterable(run_rows(fs, f"{root}/{f}", low, high) for f in files) for files in runs.values()]))
+
+
+def _merge_pass_task(folder: str, cut_every: int):
+    """A range of a group becomes a part of its merged run."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         for batch in batches:
-            for runs in batch.column(0).to_pylist():
+            for row in batch.to_pylist():
                 made = f"run-{uuid.uuid4().hex}.parquet"
-                yield _run_batch(made, *write_run(fs, f"{root}/{made}", iter(LoserTree([run_rows(fs, f"{root}/{r}", None, None) for r in runs])), cut_every))
+                yield _part_batch(f"merged-{row['g']}", row["r"], made, *write_run(fs, f"{root}/{made}", _merged(fs, root, row), cut_every))
 
     return run
 
 
-def _merge_range_task(folder: str, runs: list[str], cuts: list[tuple]):
+def _merge_last_task(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         for batch in batches:
-            for r in batch.column(0).to_pylist():
-                low, high = cuts[r - 1] if r else None, cuts[r] if r < len(cuts) else None
-                held, place = [], 0
-                merged = iter(LoserTree([run_rows(fs, f"{root}/{name}", low, high) for name in runs]))
-                while True:
-                    held = [row for _, row in zip(range(GROUP_ROWS), merged)]
-                    if not held:
-                        break
-                    columns = [pa.array(c, f.type) for c, f in zip(zip(*held), CAPTURE)]
-                    n = len(held)
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([r] * n, pa.int32()), pa.array(range(place, place + n), pa.int64())], names=[*CAPTURE.names, "merge_range", "merge_place"])
+            for row in batch.to_pylist():
+                merged, place = _merged(fs, root, row), 0
+                while held := list(islice(merged, GROUP_ROWS)):
+                    columns, n = [pa.array(c, f.type) for c, f in zip(zip(*held), CAPTURE)], len(held)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([row["r"]] * n, pa.int32()), pa.array(range(place, place + n), pa.int64())], names=[*CAPTURE.names, "merge_range", "merge_place"])
                     place += n
 
     return run
 
 
-def capture_histories(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, fan_in: int = FAN_IN, cut_every: int = CUT_EVERY) -> DataFrame:
+def capture_histories(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, fan_in: int = FAN_IN, cut_every: int = CUT_EVERY, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Writes the archives, reads them back and returns all captures in global order of ``merge_range, merge_place``."""
     spark = pages.sparkSession
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     folder = new_path(spark, "warc")
-    typed = rows.join(record_types(rows), "page_id", "left").select("page_id", "url", "html", "refers_to")
-    archives = table(arrow_map(typed, _write_task(folder, archive_bytes), "file string"), "archives")
-    n_archives = archives.count()
-    runs = table(arrow_map(archives.repartition(max(1, n_archives)), _sort_task(folder, cut_every), RUN), "runs")
-    while (n_runs := runs.count()) > fan_in:
-        n_groups = -(-n_runs // fan_in)
-        # Equal shares of the runs: the order of names is as good as any.
-        numbered = runs.select("run", F.ntile(n_groups).over(_by_name()).alias("g"))
-        groups = numbered.groupBy("g").agg(F.sort_array(F.collect_list("run")).alias("runs")).select("runs").repartition(n_groups)
-        runs = table(arrow_map(groups, _merge_group_task(folder, cut_every), RUN), "runs")
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    n_ranges = max(1, min(partitions(spark), -(-total // (4 * cut_every))), total // RANGE_ROWS)
-    offered = runs.select(F.explode("cuts").alias("c")).select("c.*")
-    seen = sorted(tuple(r) for r in offered.orderBy(F.xxhash64(*ORDER)).limit(CUTS_SEEN).collect())
-    cuts = sorted({seen[i * len(seen) // n_ranges] for i in range(1, n_ranges)}) if seen else []
-    names = [r.run for r in runs.select("run").orderBy("run").collect()]  # fan_in at most
-    ranges = spark.range(0, len(cuts) + 1, 1, len(cuts) + 1)
+    archives = table(arrow_map(with_record_types(rows), _write_task(folder, archive_bytes), "file string"), "archives")
+    parts = table(arrow_map(archives.repartition(max(1, archives.count())), _sort_task(folder, cut_every), PART), "runs")
+
+    def tasks(groups: DataFrame) -> DataFrame:
+        """One partition for each range."""
+        plan = table(merge_plan(parts, groups, cut_every, range_rows), "ranges")
+        return plan.repartition(max(1, plan.count()))
+
+    while (n_runs := parts.select("run").distinct().count()) > fan_in:
+        # Equal shares of the runs: the order of names, all that is sorted here, is as good as any.
+        numbered = parts.select("run").distinct().select("run", (F.ntile(-(-n_runs // fan_in)).over(Window.orderBy("run")) - 1).alias("g"))
+        parts = table(arrow_map(tasks(numbered), _merge_pass_task(folder, cut_every), PART), "runs")
+    last = tasks(parts.select("run", F.lit(0).alias("g")).distinct())
     schema = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, merge_range int, merge_place long"
-    return arrow_map(ranges, _merge_range_task(folder, names, cuts), schema)
-
-
-def _by_name():
-    return Window.orderBy("run")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "merge_range", "merge_place")
+    return arrow_map(last, _merge_last_task(folder), schema).select(*columns)
 
 
 def with_global_place(histories: DataFrame) -> DataFrame:
@@ -310,7 +350,7 @@ def with_global_place(histories: DataFrame) -> DataFrame:
     merged = table(histories, "merged")
     sizes = merged.groupBy("merge_range").agg(F.count("*").alias("n"))
     starts = sizes.select("merge_range", (F.sum("n").over(Window.orderBy("merge_range")) - F.col("n")).alias("start"))
-    placed = merged.join(F.broadcast(starts), "merge_range")  # as many rows as ranges
+    placed = merged.join(starts, "merge_range")
     return placed.withColumn("place", F.col("start") + F.col("merge_place")).drop("merge_range", "merge_place", "start")
 
 
