@@ -180,24 +180,50 @@ def test_leaks_match_exact_distances(spark, make_docs):
     assert decontaminate.leaks(make_docs(rows), benchmark.where("false")).count() == 0
 
 
-def edited_heads(rng, n_words, change):
-    """An item of the given length, and a document that holds it with its first words dropped or replaced up to the allowed distance."""
-    item = [f"w{rng.randrange(5000)}" for _ in range(n_words)]
-    allowed = n_words // 5
-    head = [f"n{rng.randrange(5000)}" for _ in range(allowed)] if change == "replaced" else []
-    around = [[f"x{rng.randrange(5000)}" for _ in range(rng.randrange(20, 90))] for _ in range(2)]
-    return " ".join(item), " ".join(around[0] + head + item[allowed:] + around[1])
-
-
-@pytest.mark.parametrize("change", ["dropped", "replaced"])
-@pytest.mark.parametrize("n_words", [60, 100, 200])
-def test_leaks_with_edits_at_the_head_only(n_words, change):
-    rng = random.Random(n_words)
-    pairs = [edited_heads(rng, n_words, change) for _ in range(40)]
-    items = decontaminate.Items.of(list(range(40)), [i.encode() for i, _ in pairs])
-    texts = [d.encode() for _, d in pairs]
-    found = decontaminate.find(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), items)
-    assert {(d, i): v for d, i, v, _ in found} == {(k, k): n_words // 5 for k in range(40)}
+def edited(rng, item, percent, where):
+    """The item with as many words dropped, replaced or inserted as allowed."""
+    n, words = len(item), list(item)
+    k = percent * n // 100
+    places = {"spread": sorted(rng.sample(range(n), k)), "even": [int((i + 0.5) * n / k) for i in range(k)], "head": list(range(k)), "tail": list(range(n - k, n))}[where]
+    for p in reversed(places):
+        new = f"n{rng.randrange(5000)}"
+        words[p : p + 1] = rng.choice([[], [new], [words[p], new]])
+    return words
+
+
+def found_in(items, documents):
+    held = decontaminate.Items.of(list(range(len(items))), [" ".join(i).encode() for i in items])
+    texts = [" ".join(d).encode() for d in documents]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return {(d, i): v for d, i, v, _ in decontaminate.find(data, offsets, held)}
+
+
+@pytest.mark.parametrize("where", ["spread", "even", "head", "tail"])
+@pytest.mark.parametrize("percent", [0, 10, 20])
+def test_recall_at_every_length(percent, where):
+    for n_words in (1, 3, 4, 5, 9, 12, 18, 19, 34, 35, 66, 67, 100, 300):
+        rng = random.Random(n_words)
+        items = [[f"w{rng.randrange(5000)}" for _ in range(n_words)] for _ in range(24)]
+        around = lambda: [f"x{rng.randrange(5000)}" for _ in range(rng.randrange(20, 90))]
+        got = found_in(items, [around() + edited(rng, i, percent, where) + around() for i in items])
+        recall = np.mean([(k, k) in got for k in range(24)])
+        assert recall == 1 if percent == 0 or n_words < decontaminate.SHORT else recall >= 0.95, n_words  # at most one of 24
+
+
+def test_repetitions_reach_their_target():
+    assert decontaminate.repetitions(0) == 1 <= decontaminate.repetitions(10) <= decontaminate.repetitions(20) <= 4
+    with pytest.raises(ValueError):
+        decontaminate.repetitions(60)
+
+
+def test_a_stem_that_many_items_share(monkeypatch):
+    items = [["what", "is", "the", "sum", "of", f"n{i}", "and", f"m{i}"] for i in range(400)]
+    documents = [["what", "is", "the", "sum", "of"] * 200 + ["and"], items[7] * 2, ["x"], items[399] + ["y"] + items[0]]
+    want = {(d, i): v for d, words in enumerate(documents) for i, item in enumerate(items) if (v := brute.edit_distance_within(item, words)) <= 1}
+    for at_a_time in (50, decontaminate.EXPANDED):
+        monkeypatch.setattr(decontaminate, "EXPANDED", at_a_time)
+        assert found_in(items, documents) == want
+    assert {(1, 7), (3, 399), (3, 0)} <= set(want)
 
 
 def short_items(spark, percent):
