@@ -48,7 +48,7 @@ from ._store import arrow_map, ids, load
 
 PERCENT = 20
 STRIDE, SCALES, TABLES, SAMPLED = 4, (16, 32, 64), 3, 4
-TARGET, MOST_WALKS, TRIALS = 0.98, 24, 400
+TARGET, MOST_WALKS, TRIALS = 0.99, 24, 400
 #: Items below this many words are looked up by pieces.
 SHORT = STRIDE + SCALES[0] - 1
 BLOCK_WORDS = 100_000
