@@ -69,8 +69,7 @@ def test_weights_and_single_bits(spark, sets):
 def test_index_configs(spark, sets):
     build = lambda **k: build_index(sets, signatures.MinHash(64), BuildConfig(16), config=QueryConfig(**k))
     pairs = {(r.id, r.other_id): r.collisions for r in build().candidate_pairs().collect()}
-    assert (80, 81) in pairs, "two empty sets share every bucket"
-    assert {(r.id, r.other_id): r.score for r in build(threshold=0.0).self_join().collect()}[80, 81] == 0.0
+    assert not {80, 81} & {x for p in pairs for x in p}, "empty sets are in no bucket"
     limited = build(max_candidates=2).self_join().groupBy("id").count().agg(F.max("count")).first()[0]
     assert limited <= 2
     assert build(max_results=1).self_join().groupBy("id").count().agg(F.max("count")).first()[0] == 1
@@ -84,6 +83,8 @@ def test_index_configs(spark, sets):
     assert one_probe <= {(r.id, r.other_id) for r in build(probes=3).candidates(sets.where("id < 9")).collect()}
     with pytest.raises(ValueError):
         build(probes=6).candidates(sets).collect()
+    by_number = build_index(sets, signatures.MinHash(64), BuildConfig(16, hash_bits=0), config=QueryConfig(probes=2))
+    assert by_number.build.hash_bits == 7 and one_probe <= {(r.id, r.other_id) for r in by_number.candidates(sets.where("id < 9")).collect()}
     with pytest.raises(ValueError):
         QueryConfig(partial_result_size=0)
     hashed = build_index(sets, signatures.MinHash(64), BuildConfig(16, hash_bits=4), config=QueryConfig(threshold=0.5))
@@ -128,6 +129,45 @@ def test_hyperplanes_projections_and_bits(spark):
     assert custom.first().sig == [16, 17]
 
 
+def test_many_empty_sets_make_no_pairs(spark):
+    rows = spark.range(0, 100_000).select("id", F.expr("cast(array() as array<int>)").alias("item"))
+    assert build_index(rows, signatures.MinHash(16), BuildConfig(4)).candidate_pairs().count() == 0
+
+
+def test_probes_flip_the_cheapest_bits(spark):
+    v = np.random.default_rng(7).standard_normal((40, 8))
+    rows = table(spark, [(i, x.tolist()) for i, x in enumerate(v)], "id long, item array<double>")
+    dots = v @ signatures.signs(64, 8).T
+    bits = (dots > 0).reshape(40, 8, 8)
+    cheap = np.argsort(np.abs(dots).reshape(40, 8, 8), axis=2, kind="stable")[:, :, :2]
+    want = set()
+    for i in range(40):
+        for b in range(8):
+            probes = [bits[i, b]] + [np.where(np.arange(8) == j, ~bits[i, b], bits[i, b]) for j in cheap[i, b]]
+            want |= {(i, k) for k in range(40) if any((bits[k, b] == p).all() for p in probes)}
+    index = build_index(rows, signatures.Hyperplanes(64, 8), BuildConfig(8), config=QueryConfig(probes=3))
+    assert {(r.id, r.other_id) for r in index.candidates(rows).collect()} == want
+    family = signatures.Projections(4, 0.5, 8)
+    got = {r.id: r for r in family.transform(rows, with_cost=True).collect()}
+    index = build_index(rows, family, BuildConfig(2), score=st.euclidean, kind="dist", config=QueryConfig(probes=2))
+    want = set()
+    for i, r in got.items():
+        for b in range(2):
+            own = r.sig[2 * b : 2 * b + 2]
+            j = min(range(2), key=lambda j: (r.cost[2 * b + j], j))
+            flipped = [r.next[2 * b + k] if k == j else x for k, x in enumerate(own)]
+            want |= {(i, k) for k, o in got.items() if o.sig[2 * b : 2 * b + 2] in (own, flipped)}
+    assert {(r.id, r.other_id) for r in index.candidates(rows).collect()} == want
+
+
+def test_recall_of_the_cosine_join(spark, sf_dir):
+    found = {(r.id, r.other_id) for r in vector_queries.hyperplane_cosine_join(spark, sf_dir).collect()}
+    data = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in data], float)
+    true = {(data[i].vec_id, data[j].vec_id) for i, j in zip(*np.nonzero(np.triu(x @ x.T, 1) >= vector_queries.COSINE))}
+    assert len(true) > 20 and len(found & true) >= 0.9 * len(true)
+
+
 def test_simhash_and_images(spark):
     rows = table(spark, [(0, ["a", "b", "c"]), (1, ["c", "b", "a"]), (2, []), (3, ["x"])], "id long, item array<string>")
     sig = {r.id: r.sig for r in signatures.SimHash().transform(rows).collect()}
@@ -184,6 +224,18 @@ def test_dictionary_edges(spark):
     assert frequency.string_index(empty, "s", "t").count() == 0
 
 
+def test_numbers_by_frequency(spark):
+    rng = random.Random(6)
+    rows = [(n, e) for n in range(60) for e in rng.sample(range(500), 9)]
+    for kind in ("int", "string"):
+        df = table(spark, [(n, e if kind == "int" else f"e{e:03}") for n, e in rows], f"id int, element {kind}")
+        counts = {}
+        for r in df.collect():
+            counts[r.element] = counts.get(r.element, 0) + 1
+        want = sorted(counts, key=lambda e: (counts[e], e))
+        assert [r.element for r in st.renumber_by_frequency(df).orderBy("number").collect()] == want
+
+
 def points(spark, rows):
     return table(spark, [(i, [float(x), float(y)]) for i, (x, y) in enumerate(rows)], "id long, item array<double>")
 
@@ -201,6 +253,12 @@ def test_metric_search_is_exact(spark):
     assert metric.cell_sizes(df, st.euclidean).agg(F.sum("size")).first()[0] == 120
     assert metric.approximate_nearest(df, df, st.euclidean).where("distance = 0").count() == 120
     assert metric.within(df.where("false"), df, st.euclidean, 0.2).count() == 0
+    manhattan = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    m = np.abs(xy[:, None] - xy[None]).sum(axis=2)
+    assert {(r.id, r.other_id) for r in metric.within(df, df.where("id % 3 = 0"), manhattan, 0.2).collect()} == {(a, b) for a in range(0, 120, 3) for b in range(120) if m[a, b] <= 0.2}
+    metric.BLOCK, kept = 7, metric.BLOCK
+    assert {(r.id, r.other_id) for r in metric.within(df, df, st.euclidean, 0.2).collect()} == near
+    metric.BLOCK = kept
 
 
 def test_nearest_other_recall_on_embeddings(spark, sf_dir):
@@ -233,6 +291,36 @@ def test_optics(spark):
     assert all(r.core_distance == 0.5 for r in rows)
 
 
+def plain_optics(d, eps, min_points):
+    n = len(d)
+    core = [sorted(row)[min_points - 1] if (row <= eps).sum() >= min_points else -1.0 for row in d]
+    reach, done, out = {}, set(), []
+    for start in range(n):
+        if start in done:
+            continue
+        queue = {start: -1.0}
+        while queue:
+            i = min(queue, key=lambda k: (queue[k], k))
+            del queue[i]
+            done.add(i)
+            out.append((i, reach.get(i, -1.0)))
+            if core[i] >= 0:
+                for j in np.flatnonzero(d[i] <= eps).tolist():
+                    new = max(core[i], d[i, j])
+                    if j not in done and new < reach.get(j, np.inf):
+                        reach[j] = queue[j] = new
+    return out
+
+
+def test_optics_on_random_points(spark):
+    xy = np.random.default_rng(9).random((90, 2))
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    rows = clustering.optics(points(spark, xy), 0.12, 4, st.euclidean).orderBy("start", "place").collect()
+    want = plain_optics(d, 0.12, 4)
+    assert [r.id for r in rows] == [i for i, _ in want]
+    assert [r.reachability for r in rows] == pytest.approx([r for _, r in want])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
@@ -271,6 +359,19 @@ def test_factors(spark):
     assert loss(factorization.funk_svd(ratings, 2, epochs=4, rate=0.05, regularization=0.01, init=0.5, blocks=2)) < 0.5 * loss(factorization.funk_svd(ratings, 2, epochs=0, init=0.5))
 
 
+def test_gradient_steps_equal_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, j, float(rng.integers(1, 6))) for i in range(9) for j in range(7) if rng.random() < 0.6]
+    start = [{r.id: list(r.v) for r in t.collect()} for t in factorization.funk_svd(table(spark, rows, "user long, item long, rating double"), 2, epochs=0)]
+    u, v = start
+    for _ in range(2):
+        for i, j, r in sorted(rows):
+            error = r - sum(a * b for a, b in zip(u[i], v[j]))
+            u[i], v[j] = [a + 0.05 * (error * b - 0.1 * a) for a, b in zip(u[i], v[j])], [b + 0.05 * (error * a - 0.1 * b) for a, b in zip(u[i], v[j])]
+    got = [{r.id: r.v for r in t.collect()} for t in factorization.funk_svd(table(spark, rows, "user long, item long, rating double"), 2, epochs=2, rate=0.05)]
+    assert all(got[s][k] == pytest.approx((u, v)[s][k]) for s in range(2) for k in (u, v)[s])
+
+
 STRINGS = [[], [""], ["", ""], ["a", "c", "b"], ["a", "", "aa"]]
 
 

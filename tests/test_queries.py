@@ -18,7 +18,8 @@ def test_query_matches_sql(spark, sf_dir, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).columns
+    """tests/test_operators.py compares these with plain versions."""
+    assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry_points(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 
@@ -103,11 +104,19 @@ def common_elements(sets: DataFrame, id_column: str, element: str = "element") -
 def renumber_by_frequency(sets: DataFrame, element: str = "element") -> DataFrame:
     """``element, n, number``: elements numbered from 0, rare ones first, ties by element.
 
-    Numbers are global but not drawn in one task: ranks within a frequency are added to the count of rarer elements."""
+    Numbers are global but not drawn in one task: most elements are rare, so a frequency's elements are cut into ranges, whose sizes are added up, and ranked within."""
     counts = sets.groupBy(element).agg(F.count("*").alias("n"))
-    below = counts.groupBy("n").agg(F.count("*").alias("m")).withColumn("start", F.sum("m").over(Window.orderBy("n")) - F.col("m")).select("n", "start")
-    within = F.row_number().over(Window.partitionBy("n").orderBy(element)) - 1
-    return counts.join(below, "n").select(element, "n", (F.col("start") + within).alias("number"))
+    # Ranges at quantiles of the elements, the same for every frequency; as many as there are shuffle partitions.
+    shares = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if isinstance(sets.schema[element].dataType, NumericType):
+        cuts = counts.agg(F.percentile_approx(element, F.array(*(F.lit(i / shares) for i in range(1, shares))), 1000).alias("c")).first().c if shares > 1 else None
+        share = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts or [])))).cast(f"array<{sets.schema[element].dataType.simpleString()}>"), lambda c: c < F.col(element)))
+    else:
+        share = F.lit(0)
+    placed = counts.withColumn("share", share)
+    below = placed.groupBy("n", "share").agg(F.count("*").alias("m")).withColumn("start", F.sum("m").over(Window.orderBy("n", "share")) - F.col("m")).select("n", "share", "start")
+    within = F.row_number().over(Window.partitionBy("n", "share").orderBy(element)) - 1
+    return placed.join(below, ["n", "share"]).select(element, "n", (F.col("start") + within).alias("number"))
 
 
 def weighted_overlaps(pairs: DataFrame, weights: DataFrame, a: str, b: str, keys: list[str], element: str = "element", weight: str = "weight") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+
 
 def frequencies(df: DataFrame, key: str, amount: str | None = None) -> DataFrame:
     """``key, n``."""
@@ -81,8 +83,9 @@ def scaled_frequency(terms: DataFrame, id_column: str, f: str = "f", scaling: st
 
 
 def tf_idf(terms: DataFrame, id_column: str, term: str, f: str = "f", scaling: str = "log") -> DataFrame:
-    """tf times ln(N / df), N the number of documents with a term."""
-    n = terms.agg(F.countDistinct(id_column).alias("_n"))
+    """tf times ln(N / df), N the number of documents with a term. The terms are read three times, so they are written once."""
+    terms = saved(terms, "terms")
+    n = terms.select(id_column).distinct().count()
     df = terms.groupBy(term).agg(F.count("*").alias("df"))
-    weighted = scaled_frequency(terms, id_column, f, scaling).join(df, term).crossJoin(F.broadcast(n))  # one row
-    return weighted.withColumn("tfidf", F.col("tf") * F.log(F.col("_n") / F.col("df"))).drop("_n")
+    weighted = scaled_frequency(terms, id_column, f, scaling).join(df, term)
+    return weighted.withColumn("tfidf", F.col("tf") * F.log(F.lit(n) / F.col("df")))

@@ -1,59 +1,104 @@
 """Range and nearest-neighbour search in metric spaces, pruned by distances to pivots.
 
-For every pivot p, |d(x, p) - d(q, p)| <= d(x, q): rows whose pivot distances differ by more than the radius can't be results. The pivot distances
-are ordinary columns; the first is cut into bands as wide as the radius, which turns range search into an equi-join of
-neighbouring bands instead of a comparison of everything with everything."""
+For every pivot p, |d(x, p) - d(q, p)| <= d(x, q). Items lie in the cell of their nearest pivot; a query meets only the cells, and in them the items, that this doesn't
+rule out, in an equi-join on the cell. The number of pivots grows with the root of the number of items (up to ``MOST_PIVOTS``). Where vectors have many dimensions nearly all distances are alike and
+no cell can be ruled out: every pair is then measured, spread evenly over the cells, and Euclidean distances in blocks of vectors. For such data an ``Index`` of hyperplanes is the way."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sets as st
+
+MOST_PIVOTS, BLOCK = 1024, 256
 Distance = Callable[[Column, Column], Column]
 
 
-def pick_pivots(items: DataFrame, n: int, id_column: str = "id", item_column: str = "item") -> list:
-    """The items of the ``n`` ids with the least hash."""
-    rows = items.where(F.col(item_column).isNotNull()).orderBy(F.xxhash64(id_column), id_column).limit(n).select(item_column).collect()
-    return [r[0] for r in rows]
+def pick_pivots(items: DataFrame, n: int | None = None, id_column: str = "id", item_column: str = "item") -> DataFrame:
+    """One row, ``ps``: the items of the ``n`` ids with the least MD5."""
+    known = items.where(F.col(item_column).isNotNull())
+    n = n or min(MOST_PIVOTS, max(16, math.isqrt(known.count())))
+    first = known.select(F.md5(F.col(id_column).cast("string").cast("binary")).alias("h"), F.col(id_column).alias("i"), F.col(item_column).alias("p")).orderBy("h", "i").limit(n)
+    return first.agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "i", "p"))), lambda x: x["p"]).alias("ps"))
+
 
+def with_pivots(items: DataFrame, distance: Distance, pivots: DataFrame, item_column: str = "item") -> DataFrame:
+    """Adds ``pivots``, the array of distances to each. The pivots, of bounded number, are one row that meets all others."""
+    return items.crossJoin(F.broadcast(pivots)).withColumn("pivots", F.transform("ps", lambda p: distance(F.col(item_column), p))).drop("ps")
 
-def _literal(value) -> Column:
-    return F.array(*map(F.lit, value)) if isinstance(value, list) else F.lit(value)
+
+def _cells(items: DataFrame, distance: Distance, pivots: DataFrame) -> DataFrame:
+    """``other_id, _b, cell, _own``: each item's cell and its distance from that pivot."""
+    nearest_cell = F.array_position("pivots", F.array_min("pivots")).cast("int") - 1
+    return with_pivots(items.where("item is not null"), distance, pivots).select(F.col("id").alias("other_id"), F.col("item").alias("_b"), nearest_cell.alias("cell"), F.array_min("pivots").alias("_own"))
 
 
-def with_pivots(items: DataFrame, distance: Distance, pivots: list, item_column: str = "item") -> DataFrame:
-    """Adds ``pivots``, the array of distances to each."""
-    return items.withColumn("pivots", F.array(*(distance(F.col(item_column), _literal(p)) for p in pivots)))
+def _asked(queries: DataFrame, distance: Distance, pivots: DataFrame) -> DataFrame:
+    """``id, _a, cell, _d``: each query's distance from each pivot."""
+    return with_pivots(queries.where("item is not null"), distance, pivots).select("id", F.col("item").alias("_a"), F.posexplode("pivots").alias("cell", "_d"))
 
 
-def within(items: DataFrame, queries: DataFrame, distance: Distance, radius: float, n_pivots: int = 3) -> DataFrame:
+def _extents(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("cell").agg(F.min("_own").alias("_low"), F.max("_own").alias("_high"), F.count("*").alias("_n"))
+
+
+def within(items: DataFrame, queries: DataFrame, distance: Distance, radius: float, n_pivots: int | None = None) -> DataFrame:
     """``id, other_id, distance`` of all items within ``radius`` of each query (both tables: id, item); exact in any metric."""
     pivots = pick_pivots(items, n_pivots)
-    if not pivots:
-        return queries.select("id", F.lit(None).cast(items.schema["id"].dataType).alias("other_id"), F.lit(0.0).alias("distance")).where("false")
-    width = max(radius, 1e-12)
-    band = lambda: F.floor(F.get("pivots", F.lit(0)) / width)
-    a = with_pivots(queries.where("item is not null"), distance, pivots).select("id", F.col("item").alias("_a"), F.col("pivots").alias("_p"), F.explode(F.array(band() - 1, band(), band() + 1)).alias("_band"))
-    b = with_pivots(items.where("item is not null"), distance, pivots).select(F.col("id").alias("other_id"), F.col("item").alias("_b"), F.col("pivots").alias("_q"), band().alias("_band"))
-    near = a.join(b, "_band").where(F.forall(F.zip_with("_p", "_q", lambda x, y: F.abs(x - y)), lambda x: x <= radius * (1 + 1e-12)))
+    slack = radius * (1 + 1e-12) + 1e-12
+    cells = _cells(items, distance, pivots)
+    extent = _extents(cells)
+    # As many rows as pivots: their number is bounded.
+    reach = _asked(queries, distance, pivots).join(F.broadcast(extent), "cell").where((F.col("_d") - slack <= F.col("_high")) & (F.col("_d") + slack >= F.col("_low")))
+    if distance is st.euclidean:
+        return _blocked(cells.join(F.broadcast(extent.select("cell", "_n")), "cell"), reach, radius)
+    near = reach.join(cells, "cell").where(F.abs(F.col("_d") - F.col("_own")) <= slack)
     return near.select("id", "other_id", distance(F.col("_a"), F.col("_b")).alias("distance")).where(F.col("distance") <= radius)
 
 
-def nearest(items: DataFrame, queries: DataFrame, distance: Distance, k: int, n_pivots: int = 16, seen: int = 2) -> DataFrame:
+def _blocked(cells: DataFrame, reach: DataFrame, radius: float) -> DataFrame:
+    """Euclidean distances of blocks of queries with blocks of items of a cell, some hundreds of vectors each; all vectors have one length."""
+    of = lambda key: F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / BLOCK)).cast("int").alias("block")
+    listed = lambda df, key, item, name: df.select("cell", of(key), F.struct(F.col(key).alias("id"), F.col(item).cast("array<double>").alias("v")).alias("x")).groupBy("cell", "block").agg(F.collect_list("x").alias(name)).drop("block")
+    counts = reach.groupBy("cell").agg(F.count("*").alias("_n"))
+    asked = reach.drop("_n").join(F.broadcast(counts), "cell")
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((reach, "id"), (cells, "other_id"))]
+
+    def matrix(column: pa.ListArray, row: int) -> tuple[pa.Array, np.ndarray]:
+        block = column[row].values
+        vectors = block.field("v")
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) % len(vectors) or (np.diff(vectors.offsets.to_numpy()) != len(flat) // len(vectors)).any():
+            raise ValueError("vectors have different lengths")
+        return block.field("id"), flat.reshape(len(vectors), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (ids, x), (other_ids, y) = (matrix(batch.column(c), row) for c in range(2))
+                found = [(i, j, d[j]) for i in range(len(x)) for d in [np.sqrt(((y - x[i]) ** 2).sum(axis=1))] for j in [np.flatnonzero(d <= radius)] if len(j)]
+                if found:
+                    at = np.repeat([i for i, _, _ in found], [len(j) for _, j, _ in found])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), other_ids.take(pa.array(np.concatenate([j for _, j, _ in found]))), pa.array(np.concatenate([d for _, _, d in found]))], names=["id", "other_id", "distance"])
+
+    pairs = listed(asked, "id", "_a", "q").join(listed(cells, "other_id", "_b", "i"), "cell").select("q", "i")
+    return pairs.mapInArrow(run, f"id {kinds[0]}, other_id {kinds[1]}, distance double")
+
+
+def nearest(items: DataFrame, queries: DataFrame, distance: Distance, k: int, n_pivots: int | None = None, seen: int = 2) -> DataFrame:
     """``id, other_id, distance, rank``: the exact ``k`` nearest items of each query.
 
-    Items are in the cells of their nearest pivot. A query first looks at the ``seen`` nearest cells, which bounds its radius by the k-th distance found there; then at the cells that the triangle
+    A query first looks at the ``seen`` nearest cells, which bounds its radius by the k-th distance found there; then at the cells that the triangle
     inequality can't rule out for that radius. Both steps are equi-joins on the cell."""
     pivots = pick_pivots(items, n_pivots)
-    if not pivots:
-        return within(items, queries, distance, 0.0).withColumn("rank", F.lit(1))
-    nearest_cell = F.array_position("pivots", F.array_min("pivots")).cast("int") - 1
-    cells = with_pivots(items.where("item is not null"), distance, pivots).select(F.col("id").alias("other_id"), F.col("item").alias("_b"), nearest_cell.alias("cell"), F.array_min("pivots").alias("_own"))
-    extent = cells.groupBy("cell").agg(F.min("_own").alias("_low"), F.max("_own").alias("_high"), F.count("*").alias("_n"))
-    asked = with_pivots(queries.where("item is not null"), distance, pivots).select("id", F.col("item").alias("_a"), F.posexplode("pivots").alias("cell", "_d"))
+    cells, asked = _cells(items, distance, pivots), _asked(queries, distance, pivots)
+    extent = _extents(cells)
     # Enough of the nearest cells to hold k items give the radius.
     by_near = Window.partitionBy("id").orderBy("_d", "cell")
     ranked = asked.join(F.broadcast(extent), "cell").withColumn("_nth", F.row_number().over(by_near)).withColumn("_before", F.sum("_n").over(by_near.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
@@ -67,7 +112,7 @@ def nearest(items: DataFrame, queries: DataFrame, distance: Distance, k: int, n_
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def approximate_nearest(items: DataFrame, queries: DataFrame, distance: Distance, n_pivots: int = 16, others: bool = False) -> DataFrame:
+def approximate_nearest(items: DataFrame, queries: DataFrame, distance: Distance, n_pivots: int | None = None, others: bool = False) -> DataFrame:
     """The nearest item of each query: ``id, other_id, distance``; with ``others``, of those with another id than the query's.
 
     A query's own cell alone holds too few of the nearest items, so the search goes on to all cells that ``nearest`` can't rule out: recall is 1."""
@@ -77,7 +122,7 @@ def approximate_nearest(items: DataFrame, queries: DataFrame, distance: Distance
     return found.groupBy("id").agg(F.min(F.struct("distance", "other_id")).alias("m")).select("id", "m.other_id", "m.distance")
 
 
-def cell_sizes(items: DataFrame, distance: Distance, n_pivots: int = 16) -> DataFrame:
+def cell_sizes(items: DataFrame, distance: Distance, n_pivots: int | None = None) -> DataFrame:
     """How evenly the pivots cut the items: ``cell, size, radius``."""
     pivots = pick_pivots(items, n_pivots)
     rows = with_pivots(items.where("item is not null"), distance, pivots).select((F.array_position("pivots", F.array_min("pivots")) - 1).alias("cell"), F.array_min("pivots").alias("d"))

@@ -37,6 +37,10 @@ class Sketcher:
     def transform(self, df: DataFrame, id_column: str = "id", item_column: str = "item") -> DataFrame:
         raise NotImplementedError
 
+    def tells(self, sig: Column) -> Column:
+        """Whether a signature can be similar to another at all."""
+        return F.lit(True)
+
     def same(self, a: Column, b: Column) -> Column:
         return es.same_bits(a, b, self.n) if self.packed else es.same_components(a, b)
 
@@ -74,6 +78,10 @@ class MinHash(Sketcher):
     def score(self, a: Column, b: Column) -> Column:
         return st.jaccard(a, b)
 
+    def tells(self, sig: Column) -> Column:
+        """Not that of an empty set. (Single bits don't show it.)"""
+        return F.lit(True) if self.single_bit else F.exists(sig, lambda h: h != EMPTY)
+
     def _offers(self, i: int) -> Column:
         """The least of the chained hashes that an element offers to component i."""
         if self.weights is None:

@@ -23,7 +23,7 @@ Score = Callable[[Column, Column], Column]
 
 @dataclass(frozen=True)
 class BuildConfig:
-    """``bands``; ``hash_bits``: None joins on the slice itself, otherwise on so many bits of its hash (0: as many as the item number has);
+    """``bands``; ``hash_bits``: None joins on the slice itself, otherwise on so many bits of its hash (0: as many as the item number has, fixed when the index is built);
     buckets with fewer than ``min_bucket_size`` or more than ``max_bucket_size`` items are dropped at build."""
 
     bands: int
@@ -34,8 +34,8 @@ class BuildConfig:
 
 @dataclass(frozen=True)
 class QueryConfig:
-    """``threshold``: similarities at least, distances at most. ``probes``: bands are looked up once more with each of the first ``probes`` - 1 components
-    replaced by its neighbour. ``compact``, ``parallel`` and ``partial_result_size`` only steer execution elsewhere: Spark plans that itself."""
+    """``threshold``: similarities at least, distances at most. ``probes``: bands are looked up once more with each of ``probes`` - 1 components
+    replaced by its neighbour: the first ones where all flips cost the same, else the cheapest. ``compact``, ``parallel`` and ``partial_result_size`` only steer execution elsewhere: Spark plans that itself."""
 
     max_bucket_size: int | None = None
     max_candidates: int | None = None
@@ -68,13 +68,20 @@ def slices(sig: Column, sketcher: Sketcher, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.slice(sig, b * length + 1, length))
 
 
+def band_rows(signatures: DataFrame, sketcher: Sketcher, build: BuildConfig, id_column: str = "id") -> DataFrame:
+    """``band, slice, id``. Signatures that tell nothing (those of empty sets) are in no bucket: they'd share all, and no similarity is above 0 there."""
+    told = sketcher.tells(F.col("sig"))
+    parts = signatures.where(told).select(F.col(id_column).alias("id"), F.posexplode(slices(F.col("sig"), sketcher, build.bands)).alias("band", "slice"))
+    return hashed_slices(parts, build)
+
+
+def hashed_slices(parts: DataFrame, build: BuildConfig) -> DataFrame:
+    return parts if build.hash_bits is None else parts.withColumn("slice", F.xxhash64("slice").bitwiseAND(F.lit((1 << build.hash_bits) - 1)))
+
+
 def band_table(signatures: DataFrame, sketcher: Sketcher, build: BuildConfig, id_column: str = "id") -> DataFrame:
     """``band, slice, id`` within the bucket sizes of the build."""
-    parts = signatures.select(F.col(id_column).alias("id"), F.posexplode(slices(F.col("sig"), sketcher, build.bands)).alias("band", "slice"))
-    if build.hash_bits is not None:
-        bits = build.hash_bits or max(signatures.count().bit_length(), 4)
-        parts = parts.withColumn("slice", F.xxhash64("slice").bitwiseAND(F.lit((1 << bits) - 1)))
-    return within_bucket_sizes(parts, build.min_bucket_size, build.max_bucket_size)
+    return within_bucket_sizes(band_rows(signatures, sketcher, build, id_column), build.min_bucket_size, build.max_bucket_size)
 
 
 def within_bucket_sizes(bands: DataFrame, least: int | None, most: int | None) -> DataFrame:
@@ -133,20 +140,34 @@ class Index:
     def _query_bands(self, queries: DataFrame) -> DataFrame:
         """``id, band, slice`` of (id, item) rows, probes included."""
         if self.config.probes == 1:
-            return band_table(self.sketcher.transform(queries), self.sketcher, BuildConfig(self.build.bands))
-        length = self.sketcher.n // self.build.bands
-        if self.sketcher.packed or not self.sketcher.uniform_cost or not hasattr(self.sketcher, "neighbours"):
-            raise ValueError("probing needs integer signatures with neighbours of equal cost")
-        if self.config.probes > length + 1:
+            return band_rows(self.sketcher.transform(queries), self.sketcher, self.build)
+        length, bands, probes = self.sketcher.n // self.build.bands, self.build.bands, self.config.probes
+        if probes > length + 1:
             raise ValueError(f"at most {length + 1} probes of bands of {length} components")
-        known = self.sketcher.neighbours(queries)
-        split = lambda c: slices(F.col(c), self.sketcher, self.build.bands)
-        rows = known.select("id", F.posexplode(F.arrays_zip(split("sig").alias("own"), split("next").alias("next"))).alias("band", "s"))
-        probe = F.explode(F.sequence(F.lit(0), F.lit(self.config.probes - 1))).alias("probe")
-        probed = rows.select("id", "band", "s", probe)
-        flipped = F.transform(F.col("s.own"), lambda x, i: F.when(i == F.col("probe") - 1, F.get(F.col("s.next"), i)).otherwise(x))
-        whole = F.forall(flipped, lambda x: x.isNotNull())
-        return probed.withColumn("slice", flipped).where(whole).select("id", "band", "slice")
+        probe = F.explode(F.sequence(F.lit(0), F.lit(probes - 1))).alias("probe")
+        if self.sketcher.uniform_cost:
+            known = self.sketcher.neighbours(queries).where(self.sketcher.tells(F.col("sig"))).withColumn("order", F.lit(None).cast("array<int>"))
+        else:
+            known = self.sketcher.transform(queries, with_cost=True)
+        if self.sketcher.packed:
+            known = known.withColumn("next", F.lit(None).cast("array<int>"))
+        # By band: the slice, its components' neighbours, and the places in the order in which they are flipped, the cheapest first.
+        part = lambda c, b: F.slice(c, b * length + 1, length)
+        cheapest = lambda b: F.transform(F.array_sort(F.transform(part(F.col("cost"), b), lambda x, i: F.struct(x.alias("c"), i.alias("i")))), lambda s: s["i"])
+        by_place = F.sequence(F.lit(0), F.lit(length - 1))
+        own = slices(F.col("sig"), self.sketcher, bands)
+        numbers = F.sequence(F.lit(0), F.lit(bands - 1))
+        orders = F.transform(numbers, lambda b: by_place if self.sketcher.uniform_cost else cheapest(b))
+        nexts = F.transform(numbers, lambda b: F.slice(F.col("next"), b * length + 1, length))
+        rows = known.select("id", F.posexplode(F.arrays_zip(own.alias("own"), nexts.alias("next"), orders.alias("order"))).alias("band", "s"))
+        probed = rows.select("id", "band", "s", probe).withColumn("at", F.when(F.col("probe") > 0, F.get("s.order", F.col("probe") - 1)))
+        if self.sketcher.packed:
+            bit = F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at")), F.lit(0).cast("long"))
+            flipped = probed.withColumn("slice", F.col("s.own").bitwiseXOR(bit))
+        else:
+            changed = F.transform(F.col("s.own"), lambda x, i: F.when(i == F.col("at"), F.get(F.col("s.next"), i)).otherwise(x))
+            flipped = probed.withColumn("slice", changed).where(F.forall("slice", lambda x: x.isNotNull()))
+        return hashed_slices(flipped.select("id", "band", "slice"), self.build)
 
     def _limited(self, pairs: DataFrame) -> DataFrame:
         """From (id, other_id, collisions): at most ``max_candidates`` others for each id, those that collide most."""
@@ -155,14 +176,9 @@ class Index:
         order = Window.partitionBy("id").orderBy(F.col("collisions").desc(), "other_id")
         return pairs.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= self.config.max_candidates).drop("_nth")
 
-    def _hashed(self, rows: DataFrame) -> DataFrame:
-        if self.build.hash_bits is None:
-            return rows
-        raise ValueError("queries of other items need exact slices; leave hash_bits out")
-
     def candidates(self, queries: DataFrame, distinct: bool = True) -> DataFrame:
         """``id, other_id`` (with ``collisions`` if distinct) for items from outside."""
-        probes = self._hashed(self._query_bands(queries))
+        probes = self._query_bands(queries)
         found = probes.join(self._accepted().withColumnRenamed("id", "other_id"), ["band", "slice"]).select("id", "other_id", "band")
         if not distinct:
             return found
@@ -256,4 +272,6 @@ def build_index(
     signatures = sketcher.transform(items)
     if store:
         signatures = saved(signatures, "signatures")
+    if build.hash_bits == 0:
+        build = replace(build, hash_bits=max(signatures.count().bit_length(), 4))
     return Index(items, signatures, band_table(signatures, sketcher, build), sketcher, build, config=config or QueryConfig()).with_score(score, kind)

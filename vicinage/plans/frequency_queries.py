@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bit_slice, higher_power_of_two, pack_pair, seeded_hash, seeded_hash_sql, unpack_high, unpack_low
+from ..functions.hashing import Xorshift128, bit_slice, higher_power_of_two, pack_pair, seeded_hash, seeded_hash_sql, unpack_high, unpack_low
 from ..operators import factorization, sorting
 from ..operators import frequency as fq
-from ..operators.bloom import BloomFilter, BloomShape, CountingBloomFilter, seen_before
+from ..operators.bloom import BloomFilter, BloomShape, CountingBloomFilter, optimal_size, seen_before
 from .inputs import load, ratings
 from .registry import register
 
@@ -57,15 +57,15 @@ def dictionary_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fq.remove(counts, events.where("event_id % 90 = 0").select("user_id").distinct(), "user_id")
 
 
-@register("dictionary_overlap", "with a as (select distinct l_partkey as k from lineitem where l_returnflag = 'R' and l_quantity > 45), b as (select distinct l_partkey as k from lineitem where l_returnflag = 'A' and l_quantity > 45) select (select count(*) from a join b using (k)) as common, (select count(*) from (select k from a union select k from b)) as total")
+@register("dictionary_overlap", "with a as (select distinct l_partkey as k from lineitem where l_returnflag = 'R'), b as (select distinct l_partkey as k from lineitem where l_returnflag = 'A') select (select count(*) from a join b using (k)) as common, (select count(*) from (select k from a union select k from b)) as total")
 def dictionary_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("k"), "l_returnflag")
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), "l_returnflag")
     return fq.overlap_sizes(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), "k")
 
 
-@register("dictionary_intersection", "select distinct l_partkey as k from lineitem where l_returnflag = 'R' and l_quantity > 45 intersect select l_partkey from lineitem where l_returnflag = 'A' and l_quantity > 45")
+@register("dictionary_intersection", "select distinct l_partkey as k from lineitem where l_returnflag = 'R' intersect select l_partkey from lineitem where l_returnflag = 'A'")
 def dictionary_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("k"), "l_returnflag")
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), "l_returnflag")
     return lines.where("l_returnflag = 'R'").select("k").intersect(lines.where("l_returnflag = 'A'").select("k"))
 
 
@@ -82,47 +82,76 @@ def string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fq.string_index(load(spark, sf_dir, "part"), "p_brand", "p_partkey")
 
 
-@register("string_index_lookup", "with f as (select p_brand, min(p_partkey) as s from part where p_size < 3 group by p_brand), i as (select p_brand, row_number() over (order by s, p_brand) - 1 as ordinal from f), k as (select distinct p_brand from part) select k.p_brand, coalesce(ordinal, -1) as ordinal from k left join i using (p_brand)")
+@register("string_index_lookup", f"{INDEX_SQL}, k as (select distinct p_brand as key from part union select distinct c_mktsegment from customer) select key, coalesce(ordinal, -1) as ordinal from k left join i on p_brand = key")
 def string_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands, and market segments, which have no ordinal."""
     part = load(spark, sf_dir, "part")
-    return fq.ordinal_of(part.select("p_brand").distinct(), fq.string_index(part.where("p_size < 3"), "p_brand", "p_partkey"), "p_brand")
+    keys = part.select(F.col("p_brand").alias("key")).union(load(spark, sf_dir, "customer").select("c_mktsegment")).distinct()
+    return fq.ordinal_of(keys, fq.string_index(part, "p_brand", "p_partkey").withColumnRenamed("p_brand", "key"), "key")
 
 
-SHAPE = BloomShape.of(4, 8192)
+RATE, HASHES = 0.01, 7  # seven hashes are best at this rate, whatever the number of elements
 
 
-def _positions_sql(key: str, shape: BloomShape = SHAPE) -> str:
-    return "[" + ", ".join(f"({seeded_hash_sql(i * 4747, key)} & {shape.bits - 1})" for i in range(shape.hashes)) + "]"
+def _shape_sql(table: str, key: str, name: str = "shape") -> str:
+    """One row: the number of positions, a power of two, for the distinct keys of a table."""
+    return f"{name} as materialized (select pow(2, greatest(6, ceil(log2(ceil(-count(distinct {key}) * ln({RATE}) / pow(ln(2), 2))))))::bigint as bits from {table})"
 
 
-@register("bloom_membership", f"with s as (select distinct unnest({_positions_sql('o_custkey')}) as p from orders where o_orderkey % 40 = 0), k as (select c_custkey, unnest({_positions_sql('c_custkey')}) as p from customer) select k.c_custkey, bool_and(s.p is not null) as maybe from k left join s on s.p = k.p group by k.c_custkey")
-def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter of the customers of every fortieth order, asked for all customers."""
-    built = BloomFilter.build(load(spark, sf_dir, "orders").where("o_orderkey % 40 = 0"), "o_custkey", SHAPE)
-    return built.contains(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+def _positions_sql(key: str, hashes: int = HASHES) -> str:
+    return "[" + ", ".join(f"({seeded_hash_sql(i * 4747, key)} & ((select bits from shape) - 1))" for i in range(hashes)) + "]"
 
 
-def _pair_of_filters(spark: SparkSession, sf_dir: str) -> tuple[BloomFilter, BloomFilter]:
-    orders = load(spark, sf_dir, "orders")
-    return tuple(BloomFilter.build(orders.where(f"o_orderkey % 40 = {r}"), "o_custkey", SHAPE) for r in (0, 1))
+def _shape(df: DataFrame, key: str) -> BloomShape:
+    return BloomShape.for_elements(df.select(key).distinct().count(), RATE)
+
+
+@register("bloom_membership", f"with {_shape_sql('orders', 'o_custkey')}, s as (select distinct unnest({_positions_sql('o_custkey')}) as p from orders), a as (select c_custkey as k from customer union all select c_custkey + 1000000 from customer), k as (select k, unnest({_positions_sql('k')}) as p from a) select k.k as custkey, bool_and(s.p is not null) as maybe from k left join s on s.p = k.p group by k.k")
+def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter of the customers of all orders, asked for all customers and for as many keys that no customer has."""
+    orders, keys = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
+    built = BloomFilter.build(orders, "o_custkey", _shape(orders, "o_custkey"))
+    return built.contains(keys.union(keys.select(F.col("custkey") + 1000000)), "custkey")
 
 
-_SETS_SQL = ", ".join(f"s{r} as (select distinct unnest({_positions_sql('o_custkey')}) as p from orders where o_orderkey % 40 = {r})" for r in (0, 1))
+_SETS_SQL = f"{_shape_sql('orders', 'o_custkey')}, " + ", ".join(f"s{n} as (select distinct unnest({_positions_sql('o_custkey')}) as p from orders where o_orderstatus {test} 'F')" for n, test in enumerate(("=", "<>")))
 
 
-@register("bloom_union_intersection", f"with {_SETS_SQL}, u as (select p from s0 union select p from s1), i as (select p from s0 intersect select p from s1), n as (select 'union' as kind, count(*) as bits_set from u union all select 'intersection', count(*) from i) select kind, bits_set, round(-{SHAPE.bits} / {SHAPE.hashes}.0 * ln(1 - bits_set / {SHAPE.bits}.0), 6) as approximate_size, {SHAPE.size_in_bytes} as size_in_bytes from n")
+@register("bloom_union_intersection", f"with {_SETS_SQL}, u as (select p from s0 union select p from s1), i as (select p from s0 intersect select p from s1), n as (select 'union' as kind, count(*) as bits_set from u union all select 'intersection', count(*) from i) select kind, bits_set, round(-bits / {HASHES}.0 * ln(1 - bits_set / bits::double), 6) as approximate_size, (bits // 8)::int as size_in_bytes from n, shape")
 def bloom_union_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _pair_of_filters(spark, sf_dir)
+    """Customers of finished orders, and of the others."""
+    orders = load(spark, sf_dir, "orders")
+    shape = _shape(orders, "o_custkey")
+    a, b = (BloomFilter.build(orders.where(f"o_orderstatus {test} 'F'"), "o_custkey", shape) for test in ("=", "<>"))
     row = lambda f, kind: f.statistics().select(F.lit(kind).alias("kind"), "bits_set", F.round("approximate_size", 6).alias("approximate_size"), "size_in_bytes")
     return row(a.union(b), "union").union(row(a.intersection(b), "intersection"))
 
 
-@register("counting_bloom", f"with p as (select unnest({_positions_sql('o_custkey', BloomShape(3, 1024))}) as p from orders where o_orderkey % 4 = 0), c as (select p, least(count(*), 15) as n from p group by p), k as (select c_custkey, unnest({_positions_sql('c_custkey', BloomShape(3, 1024))}) as p from customer) select c_custkey, min(coalesce(n, 0)) as at_most from k left join c using (p) group by c_custkey")
+@register("counting_bloom", f"with {_shape_sql('orders', 'o_custkey')}, p as (select unnest({_positions_sql('o_custkey')}) as p from orders), c as (select p, least(count(*), 15) as n from p group by p), k as (select c_custkey, unnest({_positions_sql('c_custkey')}) as p from customer) select c_custkey, min(coalesce(n, 0)) as at_most from k left join c using (p) group by c_custkey")
 def counting_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = CountingBloomFilter.build(load(spark, sf_dir, "orders").where("o_orderkey % 4 = 0"), "o_custkey", BloomShape(3, 1024), 4)
+    """How many orders each customer has at most; counters end at 15."""
+    orders = load(spark, sf_dir, "orders")
+    built = CountingBloomFilter.build(orders, "o_custkey", _shape(orders, "o_custkey"), 4)
     return built.count(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
+_SIZES = [(n, p) for n in (1, 10, 1000, 123_456, 10_000_000) for p in (0.5, 0.1, 0.01, 0.0001)]
+
+
+@register("bloom_sizes", f"with c(n, p) as (values {', '.join(map(str, _SIZES))}), m as (select n::bigint as n, p::double as p, ceil(-n * ln(p::double) / pow(ln(2), 2))::bigint as bits from c), k as (select *, greatest(1, round(ln(2) * bits / n))::int as hashes, pow(2, greatest(6, ceil(log2(bits))))::bigint as rounded from m) select n, p, bits, hashes, rounded, round(pow(1 - pow(1 - 1.0::double / rounded, hashes * n), hashes), 9) as rate from k")
+def bloom_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits and hashes for a number of elements and a rate, the bits that are used, and the rate with these."""
+    rows = [(n, p, *optimal_size(n, p), (shape := BloomShape.for_elements(n, p)).bits, round(shape.false_positive_rate(n), 9)) for n, p in _SIZES]
+    return spark.createDataFrame(rows, "n long, p double, bits long, hashes int, rounded long, rate double")
+
+
+@register("xorshift_numbers", "with recursive g(i, x, y, z, w) as (select 0::bigint, 123456789::bigint, 362436069::bigint, 521288629::bigint, 88675123::bigint union all select i + 1, y, z, w, xor(xor(w, w >> 19), xor(t, t >> 8)) & 4294967295 from (select i, y, z, w, xor(x, (x << 11) & 4294967295) as t from g where i < 1000)) select i as nth, (case when w >= 2147483648 then w - 4294967296 else w end)::bigint as number from g where i > 0")
+def xorshift_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first thousand numbers of the xorshift generator."""
+    g = Xorshift128()
+    return spark.createDataFrame([(i, g.next_int()) for i in range(1, 1001)], "nth long, number long")
+
+
 @register("seen_before", "select event_id, user_id, row_number() over (partition by user_id order by event_id) > 1 as seen from events")
 def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen_before(load(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id")
@@ -196,6 +225,20 @@ def sort_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorting.with_place(load(spark, sf_dir, "customer").withColumn("b", name), F.col("b"), F.col("c_custkey")).select("c_custkey", "place")
 
 
+@register("sort_signed_bytes", "with b as (select c_custkey, encode(c_name || chr((192 + c_custkey % 60)::int)) as b from customer), l as (select c_custkey, list_transform(range(0, octet_length(b)), lambda i: (('0x' || substr(hex(b), 2 * i::int + 1, 2))::int + 128) % 256) as a from b) select c_custkey, row_number() over (order by a, c_custkey) - 1 as place from l")
+def sort_signed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary values by signed bytes: those above 127 come first."""
+    rows = load(spark, sf_dir, "customer").withColumn("b", F.concat("c_name", F.expr("char(192 + c_custkey % 60)")).cast("binary"))
+    return sorting.with_place(rows, sorting.signed_bytes(F.col("b")), F.col("c_custkey")).select("c_custkey", "place")
+
+
+@register("sort_stable", "select o_orderkey, o_orderpriority, o_totalprice from orders order by o_orderpriority, o_orderkey limit 500")
+def sort_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By priority; rows of one priority stay in the order of their keys. The first 500."""
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return sorting.sorted_by(rows, F.col("o_orderpriority"), stable=F.col("o_orderkey")).limit(500)
+
+
 @register("sort_nulls_first", "select p_partkey, row_number() over (order by case when p_size % 5 > 0 then p_size end nulls first, p_partkey) - 1 as place from part")
 def sort_nulls_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorting.with_place(load(spark, sf_dir, "part"), F.expr("case when p_size % 5 > 0 then p_size end"), F.col("p_partkey")).select("p_partkey", "place")
@@ -219,15 +262,48 @@ def balanced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.balanced_ranges(load(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "user"), "user", 4)
 
 
-@register("als_factors")
+ALPHA, REGULARIZATION = 40.0, 0.1
+
+
+def _als_sql(iterations: int) -> str:
+    """``uN``, ``iN``: factors of users and items after each round, by Cramer's rule for two factors."""
+
+    def half(name: str, mine: str, theirs: str, fixed: str) -> str:
+        v = ("v0", "v1")
+        gram = ", ".join(f"sum(v{a} * v{b}) as g{a}{b}" for a, b in ((0, 0), (0, 1), (1, 1)))
+        sums = ", ".join([*(f"sum({ALPHA} * r * f.v{a} * f.v{b}) as m{a}{b}" for a, b in ((0, 0), (0, 1), (1, 1))), *(f"sum((1 + {ALPHA} * r) * f.{x}) as r{a}" for a, x in enumerate(v))])
+        p, q, s = f"(m00 + g00 + {REGULARIZATION})", "(m01 + g01)", f"(m11 + g11 + {REGULARIZATION})"
+        return f"{name} as materialized (select id, (r0 * {s} - r1 * {q}) / ({p} * {s} - {q} * {q}) as v0, (r1 * {p} - r0 * {q}) / ({p} * {s} - {q} * {q}) as v1 from (select {mine} as id, {sums} from t join {fixed} f on f.id = t.{theirs} group by {mine}), (select {gram} from {fixed}))"
+
+    code = lambda f: f"('0x' || substr(md5(item || '/0/{f}'), 1, 7))::bigint / 268435456.0::double * 0.2"
+    steps = [f"i0 as materialized (select item as id, {code(0)} as v0, {code(1)} as v1 from (select distinct item from t))"]
+    for n in range(iterations):
+        steps += [half(f"u{n + 1}", '"user"', "item", f"i{n}"), half(f"i{n + 1}", "item", '"user"', f"u{n + 1}")]
+    rows = " union all ".join(f"select '{side}' as side, id, round(v0, 4) as v0, round(v1, 4) as v1 from {t}{iterations}" for side, t in (("user", "u"), ("item", "i")))
+    return ", ".join(steps) + f" {rows}"
+
+
+_RATINGS_SQL = 't as materialized (select o_custkey as "user", l_partkey as item, {} as r from orders join lineitem on o_orderkey = l_orderkey group by all)'
+
+
+def _factor_rows(sides: tuple[DataFrame, DataFrame], factors: int) -> DataFrame:
+    users, items = (df.select(F.lit(side).alias("side"), "id", *(F.round(F.get("v", F.lit(k)), 4).alias(f"v{k}") for k in range(factors))) for side, df in zip(("user", "item"), sides))
+    return users.union(items)
+
+
+@register("als_factors", f"with {_RATINGS_SQL.format('count(*)::double')}, {_als_sql(2)}")
 def als_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users, items = factorization.als(ratings(spark, sf_dir), 4, iterations=2)
-    row = lambda df, side: df.select(F.lit(side).alias("side"), "id", *(F.round(F.get("v", F.lit(k)), 4).alias(f"v{k}") for k in range(4)))
-    return row(users, "user").union(row(items, "item"))
+    """Two factors after two rounds; ratings are numbers of orders."""
+    return _factor_rows(factorization.als(ratings(spark, sf_dir), 2, ALPHA, REGULARIZATION, iterations=2), 2)
+
+
+@register("als_unary", f"with {_RATINGS_SQL.format('1.0::double')}, {_als_sql(2)}")
+def als_unary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for what was ordered at all."""
+    return _factor_rows(factorization.als_unary(ratings(spark, sf_dir), 2, alpha=ALPHA, regularization=REGULARIZATION, iterations=2), 2)
 
 
 @register("funk_svd")
 def funk_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users, items = factorization.funk_svd(ratings(spark, sf_dir), 2, epochs=1, blocks=4)
-    row = lambda df, side: df.select(F.lit(side).alias("side"), "id", *(F.round(F.get("v", F.lit(k)), 4).alias(f"v{k}") for k in range(2)))
-    return row(users, "user").union(row(items, "item"))
+    """No SQL: each step depends on the one before. tests/test_operators.py compares it with plain loops."""
+    return _factor_rows(factorization.funk_svd(ratings(spark, sf_dir), 2, epochs=1, blocks=4), 2)

@@ -80,7 +80,9 @@ def minima_sql(n: int, source: str = "e", value: str = "x") -> str:
 
 def bands_sql(n: int, bands: int, prefix: str = "h", source: str = "sig", name: str = "bands") -> str:
     length = n // bands
-    one = lambda b: f"select id, {b} as band, [{', '.join(f'{prefix}{b * length + j}' for j in range(length))}] as slice from {source}"
+    # Minima of empty sets are in no bucket.
+    told = " where h0 <> 2147483647 or h1 <> 2147483647" if source == "sig" and prefix == "h" else ""
+    one = lambda b: f"select id, {b} as band, [{', '.join(f'{prefix}{b * length + j}' for j in range(length))}] as slice from {source}{told}"
     return f"{name} as materialized ({' union all '.join(one(b) for b in range(bands))})"
 
 

@@ -17,7 +17,9 @@ def write_index(index: Index, path: str) -> None:
     # Signatures are made once: the bands are cut from the stored ones.
     stored = index.items.sparkSession.read.parquet(f"{path}/signatures")
     bands = band_table(stored, index.sketcher, build)
-    bands.repartition("band").sortWithinPartitions("band", F.xxhash64("slice")).write.partitionBy("band").parquet(f"{path}/bands")
+    # As many tasks as Spark's shuffle setting says; each holds a share of a few bands' slices.
+    share = F.pmod(F.xxhash64("slice"), F.lit(max(1, int(index.items.sparkSession.conf.get("spark.sql.shuffle.partitions")) // build.bands)))
+    bands.repartition("band", share).sortWithinPartitions("band", F.xxhash64("slice")).write.partitionBy("band").parquet(f"{path}/bands")
     row = [(type(index.sketcher).__name__, index.sketcher.n, build.bands, build.hash_bits, build.min_bucket_size, build.max_bucket_size)]
     schema = "family string, n int, bands int, hash_bits int, min_bucket_size int, max_bucket_size long"
     index.items.sparkSession.createDataFrame(row, schema).coalesce(1).write.parquet(f"{path}/parameters")
