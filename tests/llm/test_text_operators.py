@@ -94,11 +94,56 @@ def test_languages_held_out(spark, make_docs):
     assert {r.lang_pred for r in language_id.identify(nothing, language_id.train(*language_id.sample(nothing))).collect()} == {"und"}
 
 
-def test_languages_do_not_see_the_held_out_fold(spark):
+def test_languages_do_not_see_the_held_out_fold(spark, make_docs):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    texts, _ = language_id.sample(docs)
-    mine = {r.text.encode() for r in docs.where(bucket_of("doc_id", 4) != 2).select("text").collect()}
-    assert set(texts) <= mine
+    windows, labels = language_id.sample(docs)
+    mine = [r.text.encode() for r in docs.where(bucket_of("doc_id", 4) != 2).select("text").collect()]
+    drawn = [bytes(w[w < 256].astype(np.uint8)) for w in windows.T]
+    assert len(drawn) == len(labels) == sum(min(language_id.TRAIN_WINDOWS, -(-len(t) // language_id.WINDOW)) for t in mine)
+    assert all(any(w in t for t in mine) for w in drawn[::50])
+    # Windows come from the whole of a long text, and one row stands for those that repeat.
+    long = [(1, "a" * 100_000 + "b" * 100_000), (1, "a" * 100_000 + "b" * 100_000), (1, None), (None, "c" * 99)]
+    windows, labels = language_id.sample(make_docs(long))
+    assert len(labels) == language_id.TRAIN_WINDOWS and {97, 98} == set(windows.ravel().tolist())
+
+
+def plain_probabilities(network, body):
+    """The mean over all positions of all windows, position by position."""
+    squash = lambda x: x / (1 + abs(x))
+    h, total = network.recurrent.shape[1], np.zeros(len(network.languages))
+    for start in range(0, len(body), language_id.WINDOW):
+        window = list(body[start : start + language_id.WINDOW])
+        window += [256] * (language_id.WINDOW - len(window))
+        states = np.zeros((2, len(window), h))
+        for d in range(2):
+            state = np.zeros(h)
+            for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+                x, w = network.inputs[d][window[t]].astype(float), network.recurrent[d].astype(float)
+                z, r = (0.5 + 0.5 * squash(x[g * h : g * h + h] + state @ w[:, g * h : g * h + h]) for g in range(2))
+                state = state + z * (squash(x[2 * h :] + (r * state) @ w[:, 2 * h :]) - state)
+                states[d, t] = state
+        for t, b in enumerate(window):
+            if b < 256:
+                e = np.exp(np.concatenate(states[:, t]) @ network.output + network.bias)
+                total += e / e.sum()
+    return total / max(len(body), 1)
+
+
+def test_predictions_equal_plain_positions(make_docs):
+    network = language_id.Network.start(["aa", "bb", "cc"])
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcdefgh é\n") for _ in range(n))) for i, n in enumerate((1, 63, 64, 65, 130, 400, 9))] + [(50, "12 34"), (51, "")]
+    for r in language_id.identify(make_docs(rows), network).collect():
+        p = plain_probabilities(network, dict(rows)[r.doc_id].encode())
+        known = r.doc_id < 50
+        assert r.lang_pred == (network.languages[int(p.argmax())] if known else "und")
+        assert r.score == pytest.approx(p.max() if known else 0, abs=1e-4)
+
+
+def test_neighbours_in_order_of_ids_where_cosines_tie():
+    similar = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]], np.float32)
+    near, values = quality_classifier.nearest(similar, 3)
+    assert near.tolist() == [[0, 1, 2], [0, 1, 2]] and values[0].tolist() == pytest.approx([0.5, 0.9, 0.5])
 
 
 def test_quality_held_out(spark, make_docs):

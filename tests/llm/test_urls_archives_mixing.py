@@ -151,6 +151,20 @@ def test_repetition_limit_wins(make_docs):
     assert sorted(orders[0]) == sorted(orders[1]) and orders[0] != orders[1]
 
 
+def test_shelves_and_limits(make_docs, monkeypatch):
+    monkeypatch.setattr(source_mixing, "SHELF", 5)
+    got = source_mixing.mix(corpus(make_docs, {"big": 9000, "small": 700}), entropy=0.99, repetition=None, block_tokens=100).collect()
+    for source in ("big", "small"):
+        starts = sorted((r.start, r.n_tokens) for r in got if r.source == source)
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])), "no gaps"
+        blocks = [r.block for r in sorted(got, key=lambda r: r.start) if r.source == source and r["pass"] == 0]
+        runs = [b // 5 for i, b in enumerate(blocks) if i == 0 or b // 5 != blocks[i - 1] // 5]
+        assert len(runs) == len(set(runs)) and (source == "small" or len(runs) > 5 and runs != sorted(runs)), "a shelf at a time"
+    with pytest.raises(ValueError):
+        source_mixing.mix(make_docs([(1, "a b")]), budget=9, repetition=4.0)
+    assert source_mixing.mix(make_docs([(1, "a b")]), budget=9, repetition=None).count() == 5
+
+
 def test_mixing_edges(make_docs):
     assert source_mixing.mix(make_docs([])).count() == 0
     assert source_mixing.mix(make_docs([(1, None), (2, " ")])).count() == 0

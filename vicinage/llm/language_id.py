@@ -3,17 +3,18 @@
 Texts are cut into windows of ``WINDOW`` bytes, all of them, to the last byte. Two gated recurrent units (their squashing
 function is x / (1 + |x|)) read each window from both ends; at every position their states give language probabilities, and a document's probabilities are the mean over all
 of its positions. Weights are trained on the driver by backpropagation through time and the Adam rule, on a bounded sample:
-at most ``TRAIN_DOCS`` documents of each language, ``TRAIN_WINDOWS`` windows of each document. They are some ten kilobytes,
+at most ``TRAIN_DOCS`` documents of each language, ``TRAIN_WINDOWS`` windows of each, drawn on the executors from the whole of its text. They are some ten kilobytes,
 which go with the task to the executors. Inference handles thousands of windows side by side.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. Only rows with a non-null language and text
-are learned from; if there are none, every text is ``und``. Rows with a null id are predicted as well and are never
+are learned from; if there are none, every text is ``und``. Rows with a null id are predicted as well, as held out, and are never
 learned from. Rows that repeat are predicted alike. Ties of probability go to the language first in alphabetical order.
 An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -211,22 +212,14 @@ def cut(data: np.ndarray, offsets: np.ndarray):
     return rows, starts, windows
 
 
-def train(texts: list[bytes], labels: list[str], steps: int = TRAIN_STEPS, batch: int = TRAIN_BATCH, rate: float = 0.02, seed: int = 11) -> Network:
+def train(windows: np.ndarray, labels: list[str], steps: int = TRAIN_STEPS, batch: int = TRAIN_BATCH, rate: float = 0.02, seed: int = 11) -> Network:
+    """``windows``: (T, N) bytes, 256 past a text's end; ``labels``: the language of each."""
     languages = sorted(set(labels))
     network = Network.start(languages)
     rng = np.random.default_rng(seed)
-    windows, marks = [], []
-    for text, label in zip(texts, labels):
-        data = np.frombuffer(text, np.uint8)
-        if not len(data):
-            continue
-        rows, starts, take = cut(data, np.array([0, len(data)]))
-        chosen = np.sort(rng.permutation(len(starts))[:TRAIN_WINDOWS])
-        windows.append(take(0, len(starts))[:, chosen])
-        marks += [languages.index(label)] * len(chosen)
-    if not windows:
+    if not languages:
         return network
-    windows, marks = np.concatenate(windows, axis=1), np.array(marks)
+    marks = np.array([languages.index(x) for x in labels])
     # Batches draw each language equally often, so that a rare one is learned too.
     by_language = [np.flatnonzero(marks == i) for i in range(len(languages))]
     by_language = [x for x in by_language if len(x)]
@@ -244,16 +237,35 @@ def train(texts: list[bytes], labels: list[str], steps: int = TRAIN_STEPS, batch
     return network
 
 
-def sample(docs: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[list[bytes], list[str]]:
-    """The ``per_language`` rows of each language with the least hash of the id, outside the held-out fold."""
+def _draw_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``doc_id, lang, text``: at most TRAIN_WINDOWS windows of every whole text, drawn by a generator that its bytes seed."""
+    for batch in batches:
+        drawn = []
+        for _, _, data, offsets in text_blocks(batch.column(2), 1):
+            if not len(data):
+                drawn.append([])
+                continue
+            rows, starts, _ = cut(data, offsets)
+            chosen = np.sort(np.random.default_rng(zlib.crc32(data.tobytes())).permutation(len(starts))[:TRAIN_WINDOWS])
+            drawn.append([data[s : s + WINDOW].tobytes() for s in starts[chosen].tolist()])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.list_(pa.binary()))], names=["doc_id", "lang", "windows"])
+
+
+def sample(docs: DataFrame, per_language: int = TRAIN_DOCS) -> tuple[np.ndarray, list[str]]:
+    """Windows and languages of the ``per_language`` rows of each language with the least hash of the id, outside the held-out fold. Only windows, at most 1.5 kB
+    for each row, come to the driver; rows that repeat an id and language give those of one of their texts."""
     eligible = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (bucket_of("doc_id", 4) != 2))
+    ids = eligible.select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = eligible.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
-    rows = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
-    # A document gives TRAIN_WINDOWS windows at most: from a very long one a bounded, evenly spread part is fetched.
-    part = F.expr(f"if(length(text) <= 65536, text, concat_ws(' ', transform(sequence(0, 15), i -> substring(text, cast(1 + i * (length(text) div 16) as int), 4096))))")
-    found = sorted(rows.select("doc_id", "lang", part.alias("text")).collect())
-    return [r.text.encode() for r in found], [r.lang for r in found]
+    chosen = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id", "lang")
+    rows = docs.select(F.col("doc_id"), "lang", F.col("text").cast("string")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    drawn = arrow_map(rows.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text"), _draw_task, "doc_id long, lang string, windows array<binary>")
+    found = sorted(drawn.groupBy("doc_id", "lang").agg(F.min("windows").alias("windows")).collect(), key=lambda r: (r.doc_id, r.lang))
+    parts = [(bytes(w), r.lang) for r in found for w in r.windows]
+    windows = np.full((WINDOW, len(parts)), 256, np.int16)
+    for i, (w, _) in enumerate(parts):
+        windows[: len(w), i] = np.frombuffer(w, np.uint8)
+    return windows, [lang for _, lang in parts]
 
 
 def _predict(network: Network):
@@ -278,7 +290,7 @@ def _predict(network: Network):
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), (bucket_of("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(True)).alias("held_out"), F.col("text").cast("string"))
     return arrow_map(rows, _predict(network), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

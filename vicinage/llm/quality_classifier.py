@@ -12,7 +12,8 @@ size of the corpus.
 
 Defined results: null and empty texts have only the length term; they are scored like others, by short labelled texts.
 Labels with a null id or quality are ignored; of several labels of one id the least counts. Without labels every score is 0.5.
-Rows with a null id are scored too (as held out). Ties between neighbours go to the labelled row first in id order.
+Rows with a null id are scored too, as held out. Cosines are compared to six digits; ties between neighbours go to the labelled row first in id order. Of rows that
+repeat a labelled id one text is learned from, that with the least hash; all are scored.
 An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -99,13 +100,22 @@ class Model:
             return out
         v = self.project(x)
         for a in range(0, len(v), 256):
-            similar = v[a : a + 256] @ self.vectors.T
-            near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(similar, near, axis=1), 1e-6).astype(float) ** POWER * self.weights[near]
+            near, similar = nearest(v[a : a + 256] @ self.vectors.T, k)
+            weight = np.maximum(similar, 1e-6).astype(float) ** POWER * self.weights[near]
             out[a : a + 256] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
+def nearest(similar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the ``k`` largest of each row, compared to six digits; of equal ones the first columns."""
+    similar = np.round(similar, 6)
+    least = np.partition(similar, similar.shape[1] - k, axis=1)[:, similar.shape[1] - k, None]
+    above, tied = similar > least, similar == least
+    chosen = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    near = np.nonzero(chosen)[1].reshape(len(similar), k)
+    return near, np.take_along_axis(similar, near, axis=1)
+
+
 def _parts(x: np.ndarray, rows: int = 256) -> Iterator[np.ndarray]:
     return (x[i : i + rows].astype(F32) for i in range(0, len(x), rows))
 
@@ -158,7 +168,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     if not known:
         return np.zeros((0, COLUMNS), F32), np.zeros(0), np.zeros(0)
     picked = docs.sparkSession.createDataFrame([(i,) for i in known], "doc_id long")
-    rows = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id", "left_semi"), _features_task, "doc_id long, x binary").collect()
+    # Of rows that repeat a sampled id the text with the least hash stands for it.
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id", "left_semi")
+    single_texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text")
+    rows = arrow_map(single_texts, _features_task, "doc_id long, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     x = np.empty((len(rows), COLUMNS), np.float16)
     for i, r in enumerate(rows):
