@@ -28,6 +28,28 @@ def test_near_duplicates_edges(make_docs):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(5, 5, True), (6, 5, False)]
 
 
+def test_one_template_below_the_threshold(make_docs):
+    """Documents that share a template, 70 to 85 % alike, in one hot bucket: some are linked, most aren't."""
+    rng = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(160)]
+    rows = []
+    for i in range(120):
+        words = template + [f"u{i}.{j}" for j in range(int(rng.integers(8, 60)))]
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join([*template[:150], *(f"v{i}.{j}" for j in range(20)), *template[150:]])) for i in range(20)]
+    for k in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(make_docs(rows), k).collect()}
+        want = brute.near_duplicates(rows, k)
+        assert got == want and 1 < len({c for _, c in want.values()}) < 140
+
+
+def test_an_id_with_several_texts(make_docs):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, "x y z"), (2, " ".join(words)), (3, "x y z"), (4, " ".join(words[:58]))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(make_docs(rows), 2).collect())
+    assert got == [(1, 2, 1), (2, 59, 2), (3, 2, 1), (4, 57, 2)]
+
+
 def test_estimates_are_corrected_for_chance():
     rng = np.random.default_rng(0)
     for true in (0.2, 0.6, 0.9):

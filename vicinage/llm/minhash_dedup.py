@@ -8,17 +8,17 @@
 3. Representatives that share a band key are candidates. In a bucket nobody forms all pairs: every member is compared with
    the bucket's smallest id (a star), first by the collision-corrected estimate from counting equal two-bit cells
    ((matches/288 - 1/4) / (3/4)), then by intersection and union of the full sets. Confirmed links are merged to
-   components; buckets that still hold several components get stars between the components, and at last
-   the pairs of different components that remain are compared one by one. A pair is never skipped for the size of its bucket:
-   only pairs already in one component are, as their link can't change the result.
+   components; buckets that still hold several components get stars between the components. Members of buckets that are still mixed meet at last
+   through an exact inverted index over the rarest fifth of their shingles (prefix, size and position filters), so thousands of documents that share a template but are less alike than the threshold don't form
+   all pairs. A pair is never skipped for the size of its bucket: only pairs already in one component are, as their link can't change the result.
 4. Components are found by label propagation with pointer jumping over tables in the shared folder.
 
 A link of similarity 0.8 shares no band with probability (1 - 0.8**6)**48 < 5e-7, and the estimate (deviation below 0.03 there)
 drops it below ``screen`` = 0.6 with a probability of less than 1e-10.
 
 Defined results: null, empty or wordless texts have an empty set (``n_shingles`` 0), are linked with nothing and
-kept. Texts with fewer words than a shingle has form one shingle of all their words. Rows with a null id are left out; rows that repeat an
-id are merged by that id's smallest fingerprint. An empty table gives an empty result. Extra columns are ignored.
+kept. Texts with fewer words than a shingle has form one shingle of all their words. Rows with a null id are left out; of rows that repeat an
+id with several sets, the smallest set (then fingerprint) is the document's. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,6 +116,14 @@ def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.reshape(-1)))
 
 
+def fingerprints(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over each set."""
+    running = np.zeros((2, len(sets) + 1), dtype=np.uint64)
+    np.cumsum(mix64(sets), dtype=np.uint64, out=running[0, 1:])
+    np.cumsum(mix64(sets ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64, out=running[1, 1:])
+    return (running[:, bounds[1:]] - running[:, bounds[:-1]]).view(np.int64)
+
+
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,10 +131,7 @@ def _signatures(k: int):
             for a, b, data, offsets in text_blocks(batch.column(1)):
                 sets, bounds = shingle_sets(data, offsets, k)
                 sizes = np.diff(bounds)
-                running = np.zeros((2, len(sets) + 1), dtype=np.uint64)
-                np.cumsum(mix64(sets), dtype=np.uint64, out=running[0, 1:])
-                np.cumsum(mix64(sets ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64, out=running[1, 1:])
-                prints = (running[:, bounds[1:]] - running[:, bounds[:-1]]).view(np.int64)
+                prints = fingerprints(sets, bounds)
                 mins = minima(sets, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.slice(a, b - a), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), _lists(band_keys(mins)), _lists(pack(mins))],
@@ -146,7 +151,7 @@ def _sets(k: int):
             for a, b, data, offsets in text_blocks(batch.column(1)):
                 sets, bounds = shingle_sets(data, offsets, k)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, fingerprints(sets, bounds)), lists], names=["doc_id", "f1", "f2", "shingles"])
 
     return run
 
@@ -183,16 +188,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, screen: floa
     everything = table(signatures(docs, k), "signatures")
     slim = everything.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "f1", "f2")).alias("s")).select("doc_id", "s.*")
     classes = slim.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = table(slim.join(classes, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    members = table(slim.join(classes, ["f1", "f2"], "left").select("doc_id", "n_shingles", "f1", "f2", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
-    # Everything from here on concerns one representative for each distinct set.
-    reps = everything.join(members.where("rep = doc_id and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Everything from here on concerns one representative for each distinct set: of rows that repeat its id, one with its fingerprint.
+    KEY = ["doc_id", "f1", "f2"]
+    chosen = members.where("rep = doc_id and n_shingles > 0").select(*KEY)
+    reps = everything.join(chosen, KEY, "left_semi").dropDuplicates(["doc_id"])
     bands = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band")
     buckets = table(bands.join(shared, "band"), "buckets")
-    involved = buckets.select("doc_id").distinct()
-    sigs = table(everything.join(involved, "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]), "sigs")
-    sets = table(arrow_map(docs.select(F.col("doc_id").cast("long"), "text").join(involved, "doc_id", "left_semi"), _sets(k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    involved = chosen.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
+    sigs = table(everything.join(involved, KEY, "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]), "sigs")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = arrow_map(texts.join(involved.select("doc_id"), "doc_id", "left_semi"), _sets(k), "doc_id long, f1 long, f2 long, shingles array<long>")
+    sets = table(own.join(involved, KEY, "left_semi").select("doc_id", "shingles").dropDuplicates(["doc_id"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that the estimate lets through and the full sets confirm."""
@@ -212,18 +221,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, screen: floa
         centres = firsts.groupBy("band").agg(F.min(F.struct("component_id", "b")).alias("c"), F.count("*").alias("n")).where("n > 1")
         return firsts.join(centres, "band").where("component_id <> c.component_id").select(F.col("c.b").alias("a"), "b").distinct()
 
+    def prefix_pairs(rows: DataFrame) -> DataFrame:
+        """Pairs of different components that can be similar enough, by an inverted index over the rarest shingles.
+
+        Two sets of similarity t share more than t of the larger one, so in one order of all shingles, rare ones first, they share one among the first
+        n - ceil(t n) + 1 of each. Sizes and the places of the shared shingle bound what can be common beyond it."""
+        open_ids = rows.select("doc_id", "component_id").distinct()
+        shingles = sets.join(open_ids, "doc_id").select("doc_id", "component_id", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+        counted = shingles.groupBy("x").agg(F.count("*").alias("f"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+        ranked = shingles.join(counted, "x").groupBy("doc_id", "component_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "x", (F.col("low") < F.col("high")).alias("shared")))).alias("s"))
+        first = ranked.select("doc_id", "component_id", "n", F.posexplode(F.slice("s", 1, F.col("n") - F.expr(f"cast(ceil({percent} * n / 100) as int)") + 1)).alias("at", "e")).where("e.shared")
+        postings = table(first.select("doc_id", "component_id", "n", "at", F.col("e.x").alias("x")), "postings")
+        a, b = postings.alias("a"), postings.alias("b")
+        alike = a.join(b, "x").where("a.component_id < b.component_id").where(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
+        # Common ones besides the prefixes before this place: at most 1 and what is left of either set.
+        possible = alike.where(f"(100 + {percent}) * (least(a.at, b.at) + 1 + least(a.n - a.at, b.n - b.at) - 1) >= {percent} * (a.n + b.n)")
+        return possible.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+
     links = table(confirmed(stars(labelled(None))), "confirmed")
     found = components(links)
     for last in (False, True):
         rows = labelled(found)
         mixed = rows.groupBy("band").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low < high").select("band")
         open_rows = table(rows.join(mixed, "band"), "open")
-        if last:
-            x, y = open_rows.alias("x"), open_rows.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component_id") < F.col("y.component_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-        else:
-            pairs = stars(open_rows)
-        more = table(confirmed(pairs), "confirmed")
+        more = table(confirmed(prefix_pairs(open_rows) if last else stars(open_rows)), "confirmed")
         if more.limit(1).count():
             links = links.union(more)
             found = components(links)
