@@ -25,9 +25,9 @@ def judged(url, rules):
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
     tail = rest[cut:]
     path = tail[: min([i for i in map(tail.find, "?#") if i >= 0], default=len(tail))]
-    fits = [(len(h) + len(p), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h) + len(p), len(h), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=None)
-    return host, path, best[1] if best else None, best[2] if best else "allow"
+    return host, path, best[2] if best else None, best[3] if best else "allow"
 
 
 def test_urls_match_brute_force(pages):
@@ -37,12 +37,23 @@ def test_urls_match_brute_force(pages):
     url = lambda: rng.choice(["http", "ftp", ""]) + rng.choice(["://", "://", ":", ""]) + ".".join(rng.choice(labels) for _ in range(rng.randrange(1, 5))) + "".join("/" + rng.choice(parts) for _ in range(rng.randrange(4))) + rng.choice(["", "?q=/en/", "#f", "?a#b", "\n/z"])
     rows = [(i, url(), "") for i in range(800)] + [(900, None, None), (901, "", ""), (902, "://", ""), (903, "x://y://net/", ""), (904, "http://net/", ""), (904, "http://net/", ""), (None, "http://net/", "")]
     nested = [("net", "/", "block"), ("example.net", "/", "allow"), ("a.example.net", "/", "block"), ("b.a.example.net", "/en", "allow"), ("com", "/", "block"), ("example.com", "/de/", "allow"), ("é", "/", "block"), ("", "/", "block")]
-    for rules in (url_filter.RULES, nested[:-1]):
-        got = sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in url_filter.filter_urls(pages(rows), rules, lanes=3).collect())
-        assert got == sorted(str((i, *judged(u, rules))) for i, u, _ in rows)
+    more = [(".".join(rng.choice(labels[:5] + labels[7:]) or "x" for _ in range(rng.randrange(1, 4))), f"/{p}", rng.choice(["allow", "block"])) for p in ("", "en", "de", "e") for _ in range(40)]
+    more = [(h.lower(), p, a) for h, p, a in more if all(h.split("."))]
+    for rules, options in ((url_filter.RULES, {}), (nested[:-1], {}), (more, {}), (more, {"max_rules": 30}), ([], {})):
+        last = list({(h, p): (h, p, a) for h, p, a in rules}.values())
+        got = sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in url_filter.filter_urls(pages(rows), rules, lanes=3, **options).collect())
+        assert got == sorted(str((i, *judged(u, last))) for i, u, _ in rows)
     assert url_filter.filter_urls(pages([])).count() == 0
     with pytest.raises(ValueError):
-        url_filter.segments(pages([]).sparkSession, [("a", "/", "block")] * 3, max_rules=2)
+        url_filter.filter_urls(pages(rows), nested)
+
+
+def test_many_nested_rules(pages, monkeypatch):
+    monkeypatch.setattr(url_filter, "SPAN", 16)
+    rules = [("net", "/", "block")] + [(f"h{i}.net", "/", "allow") for i in range(300)] + [(f"a.h{i}.net", f"/{j}", "block") for i in range(0, 300, 3) for j in range(3)]
+    rows = [(i, f"http://{'a.' * (i % 3)}h{i % 301}.net/{i % 4}", "") for i in range(900)]
+    got = sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in url_filter.filter_urls(pages(rows), rules, lanes=2).collect())
+    assert got == sorted(str((i, *judged(u, rules))) for i, u, _ in rows)
 
 
 def test_archives_round_trip(pages):
