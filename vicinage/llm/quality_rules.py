@@ -2,17 +2,18 @@
 
 Every text gets base statistics by array functions within its row: nothing is exploded, so a text is never shuffled.
 The statistics become a vector of four bounded, roughly symmetric features. Rows with equal language and source form
-a cell; cells of fewer than ``min_cell`` rows are pooled by language, and languages that are still too small are pooled
-together; if even that pool is too small, its rows keep the base verdict.
+a cell, those of a language a pool, and all rows one more.
 
-In each cell a robust centre and scatter are found: the start is the coordinatewise median and quartile range, then
-concentration steps take the ``support`` share of rows that lie nearest (Mahalanobis distance) and estimate mean and covariance
-from them, which never raises the determinant. Quantiles come from histograms of fixed relative resolution (1/16 octave),
+For each cell, pool and for all rows a robust centre and scatter are found from three starts: coordinatewise median and quartile range; plain mean and covariance; and mean and covariance of the half
+that lies nearest by the first. From each, ``steps`` concentration steps take the ``support`` share of rows that lie nearest (Mahalanobis distance) and estimate mean and covariance
+from them, which lowers the determinant; of the three results that with the least determinant counts. Quantiles come from histograms of fixed relative resolution (1/16 octave),
 which are aggregated on both sides of the shuffle, so a cell with a third of all rows costs no more per task than
-others; the support set is whole bins, that is at least ``support`` of the cell. After the steps the covariance is scaled for consistency,
-and a row is rejected if its squared distance exceeds ``cutoff``. ``floor`` is added to the variances, so that a statistic that is
+others; the support set is whole bins, that is at least ``support`` of the cell. After the steps the covariance is scaled for consistency. ``floor`` is added to the variances, so that a statistic that is
 constant in most rows can't reject a row for a trifle: it is the spread below which differences don't matter.
 
+A cell's estimate is mixed with its pool's as if that had ``prior`` rows more, and a pool's with that of all rows: small cells lean on their language, large ones hardly change, and no
+size of a cell is a case of its own. A row is rejected if its squared distance exceeds ``cutoff``.
+
 Defined results: a null or empty text has no words, fails the base rule and isn't kept. Null languages or sources form their own
 cells. Rows with equal ids are judged one by one, as are repeated rows. An empty table gives an empty result.
 Extra columns are ignored. Null ids are kept as they are.
@@ -20,6 +21,8 @@ Extra columns are ignored. Null ids are kept as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ FLOORS = (0.5, 0.15, 0.25, 0.6)
 CUTOFF = 23.51
 #: Consistency of the covariance of the nearest 75 % of four-dimensional normal rows.
 SUPPORT, CONSISTENCY = 0.75, 1.59
+STEPS, PRIOR = 4, 50
+D = len(FEATURES)
+PAIRS = [(j, i) for i in range(D) for j in range(i + 1)]
 
 
 def base_statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -80,18 +86,10 @@ def with_features(stats: DataFrame) -> DataFrame:
     )
 
 
-def with_cells(rows: DataFrame, min_cell: int) -> DataFrame:
-    """Adds ``cell``: language and source, or the pool of a language, or the pool of the rest, or null if that is too small."""
+def with_cells(rows: DataFrame) -> DataFrame:
+    """Adds ``cell``, language and source, and ``pool``, the language."""
     part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n_own"))
-    by_lang = sizes.where(F.col("n_own") < min_cell).groupBy(F.col("lang").alias("pool_lang")).agg(F.sum("n_own").alias("n_lang"))
-    named = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("pool_lang")), "left").select(
-        F.col("lang").alias("c_lang"), F.col("source").alias("c_source"), "n_own",
-        F.when(F.col("n_own") >= min_cell, F.concat(part("lang"), F.lit("/"), part("source"))).when(F.col("n_lang") >= min_cell, F.concat(part("lang"), F.lit("/*"))).otherwise("*").alias("cell"),
-    )
-    small = named.groupBy("cell").agg(F.sum("n_own").alias("n_cell"))
-    names = named.join(small, "cell").select("c_lang", "c_source", F.when(F.col("n_cell") >= min_cell, F.col("cell")).alias("cell"))
-    return rows.join(names, F.col("lang").eqNullSafe(F.col("c_lang")) & F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_lang", "c_source")
+    return rows.withColumns({"cell": F.concat(part("lang"), F.lit("/"), part("source")), "pool": F.concat(part("lang"), F.lit("/*"))})
 
 
 def _bin(x: Column) -> Column:
@@ -122,18 +120,13 @@ def _start(rows: DataFrame) -> DataFrame:
     )
 
 
-def _estimate(rows: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Mean and covariance by cell from sums, with the floors on the diagonal."""
-    d = len(FEATURES)
-    sums = rows.groupBy("cell").agg(
-        F.count("*").cast("double").alias("n"),
-        *(F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)),
-        *(F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{j}{i}") for i in range(d) for j in range(i + 1)),
-    )
+def _estimate(rows: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """Mean and covariance by key from sums, with the floors on the diagonal."""
+    sums = rows.groupBy(*keys).agg(*(F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)), *(F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{j}{i}") for j, i in PAIRS))
     return sums.select(
-        "cell",
-        *(f"m{i}" for i in range(d)),
-        *((F.lit(scale) * (F.col(f"p{j}{i}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{j}{i}") for i in range(d) for j in range(i + 1)),
+        *keys,
+        *(f"m{i}" for i in range(D)),
+        *((F.lit(scale) * (F.col(f"p{j}{i}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{j}{i}") for j, i in PAIRS),
     )
 
 
@@ -154,32 +147,65 @@ def _factored(estimate: DataFrame) -> DataFrame:
             below[f"l{j}{i}"] = value / F.col(f"l{j}{j}")
         if below:
             out = out.withColumns(below)
-    return out.select("cell", *(f"m{i}" for i in range(d)), *(f"l{j}{i}" for i in range(d) for j in range(i + 1)))
+    return out
 
 
 def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance, by forward substitution."""
+    """Adds ``d2``, the squared Mahalanobis distance, by forward substitution, for each start that the estimate has."""
     d = len(FEATURES)
-    out = rows.join(_factored(estimate), "cell", "left")
+    start = ["start"] if "start" in estimate.columns else []
+    out = rows.join(_factored(estimate).select("cell", *start, *(f"m{i}" for i in range(D)), *(f"l{j}{i}" for j, i in PAIRS)), "cell", "left")
     for i in range(d):
         value = F.col(FEATURES[i]) - F.col(f"m{i}")
         for j in range(i):
             value = value - F.col(f"l{j}{i}") * F.col(f"z{j}")
         out = out.withColumn(f"z{i}", value / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(d))).select(*rows.columns, "d2")
+    return out.withColumn("d2", sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(d))).select(*rows.columns, *start, "d2")
+
+
+def _nearest(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
+    """The rows, or a few more, that make the share of each cell (and start) lying nearest."""
+    keys = ["cell", *(["start"] if "start" in estimate.columns else [])]
+    near = _with_distance(rows, estimate).withColumn("bin", _bin(F.col("d2")))
+    return near.join(_quantile_bins(near, keys, share, "limit"), keys).where("bin <= limit")
+
+
+def _mixed(own: DataFrame, other: DataFrame, prior: float) -> DataFrame:
+    """The moments of ``own`` rows (``n``) and of ``prior`` rows of ``other``, joined on ``pool``, together."""
+    w = F.col("n") / (F.col("n") + F.lit(float(prior)))
+    theirs = other.select(F.col("cell").alias("pool"), *(F.col(c).alias(f"o_{c}") for c in (*(f"m{i}" for i in range(D)), *(f"c{j}{i}" for j, i in PAIRS))))
+    apart = lambda i: F.col(f"m{i}") - F.col(f"o_m{i}")
+    return own.join(theirs, "pool").select(
+        "cell",
+        *((w * F.col(f"m{i}") + (1 - w) * F.col(f"o_m{i}")).alias(f"m{i}") for i in range(D)),
+        *((w * F.col(f"c{j}{i}") + (1 - w) * F.col(f"o_c{j}{i}") + w * (1 - w) * apart(i) * apart(j)).alias(f"c{j}{i}") for j, i in PAIRS),
+    )
+
+
+def robust_estimates(fitted: DataFrame, steps: int = STEPS, support: float = SUPPORT, consistency: float = CONSISTENCY) -> DataFrame:
+    """``cell`` with mean and covariance: of three starts the result with the least determinant."""
+    medians = table(_start(fitted), "mcd")
+    starts = [medians, _estimate(fitted, ["cell"]), _estimate(_nearest(fitted, medians, 0.5), ["cell"])]
+    columns = ["cell", "start", *(f"m{i}" for i in range(D)), *(f"c{j}{i}" for j, i in PAIRS)]
+    estimate = reduce(DataFrame.union, (e.withColumn("start", F.lit(n)).select(columns) for n, e in enumerate(starts)))
+    for step in range(steps):
+        estimate = table(_estimate(_nearest(fitted, table(estimate, "mcd") if step == 0 else estimate, support), ["cell", "start"], consistency if step == steps - 1 else 1.0), "mcd")
+    # Results of different starts are often one and the same: digits that sums in another order would change don't decide.
+    size = F.round(sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(D)), F.lit(0.0)), 6)
+    best = _factored(estimate).groupBy("cell").agg(F.min_by(F.struct(*columns[2:]), F.struct(size.alias("size"), "start")).alias("e"))
+    return best.select("cell", "e.*")
 
 
-def robust_verdicts(stats: DataFrame, min_cell: int = 50, steps: int = 4, cutoff: float = CUTOFF, support: float = SUPPORT, consistency: float = CONSISTENCY) -> DataFrame:
+def robust_verdicts(stats: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF, support: float = SUPPORT, consistency: float = CONSISTENCY, prior: float = PRIOR) -> DataFrame:
     """Adds ``base_failed``, ``d2`` and ``kept`` to the statistics, which are read once for each step."""
-    rows = with_cells(with_features(stats), min_cell)
+    rows = with_cells(with_features(stats))
     # Rows that fail the base rule can't be kept; they don't shape the estimates either.
-    fitted = rows.where(~F.col("base_failed") & F.col("cell").isNotNull()).select("cell", *FEATURES)
-    estimate = _start(fitted)
-    for step in range(steps):
-        near = _with_distance(fitted, estimate).withColumn("bin", _bin(F.col("d2")))
-        limits = _quantile_bins(near, ["cell"], support, "limit")
-        estimate = table(_estimate(near.join(limits, "cell").where("bin <= limit"), consistency if step == steps - 1 else 1.0), "mcd")
-    judged = _with_distance(rows, estimate)
+    good = rows.where(~F.col("base_failed"))
+    fitted = good.select(F.explode(F.array("cell", "pool", F.lit("*"))).alias("cell"), *FEATURES)
+    found = table(robust_estimates(fitted, steps, support, consistency).join(fitted.groupBy("cell").agg(F.count("*").alias("n")), "cell"), "mcd")
+    pools = _mixed(found.where("endswith(cell, '/*')").withColumn("pool", F.lit("*")), found.where("cell = '*'"), prior)
+    cells = _mixed(found.join(good.select("cell", "pool").distinct(), "cell"), pools, prior)
+    judged = _with_distance(rows, table(cells, "mcd"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff))
 
 
@@ -194,10 +220,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents")).drop("distance2")
 
 
-def _sql(min_cell: int = 50, steps: int = 4) -> str:
-    """The whole rule in SQL, with the same start, bins and number of steps."""
-    d = range(len(FEATURES))
-    pairs = [(j, i) for i in d for j in range(i + 1)]
+def _sql(steps: int = STEPS) -> str:
+    """The whole rule in SQL, with the same starts, bins and number of steps."""
+    d = range(D)
+    means, moments = [f"m{i}" for i in d], [f"c{j}{i}" for j, i in PAIRS]
+    part = lambda c: f"coalesce(length({c}) || ':' || {c}, '-')"
+    xs = ", ".join(f"x{i}" for i in d)
     ctes = [
         r"""t as materialized (select doc_id, lang, source, coalesce(text, '') as t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
 tt as materialized (select row_number() over () as rowid_, * from t),
@@ -205,21 +233,16 @@ g as (select rid, i, md5(array_to_string(w[i:i + 4], chr(10))) as g from (select
 r as (select rid, count(distinct j) as n from (select rid, unnest([i, i + 1, i + 2, i + 3, i + 4]) as j from (select rid, i, count(*) over (partition by rid, g) as k from g) where k > 1) group by rid),
 l as (select rowid_, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines, len(string_split(t, chr(10))) as n_lines from tt),
 s as materialized (select doc_id, lang, source, tt.rowid_ as rid, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, n_lines, coalesce(n, 0) as n_repeat_words from tt join l on l.rowid_ = tt.rowid_ left join r on r.rid = tt.rowid_),
-x as materialized (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, round(ln(1 + n_words::double), 9) as x0, round(ln(greatest(word_chars, 1) / greatest(n_words, 1)), 9) as x1, round(ln(1 + 20 * n_symbols / greatest(n_words, 1)), 9) as x2, round(ln(1 + 10 * n_repeat_words / greatest(n_words, 1)) + ln(1 + 10 * n_dup_lines / greatest(n_lines, 1)), 9) as x3 from s),
-z as (select lang, source, count(*) as n from x group by all)""",
-        f"zl as (select lang, sum(n) as n from z where n < {min_cell} group by lang)",
-        f"zn as (select z.lang, z.source, z.n, case when z.n >= {min_cell} then coalesce(length(z.lang) || ':' || z.lang, '-') || '/' || coalesce(length(z.source) || ':' || z.source, '-') when zl.n >= {min_cell} then coalesce(length(z.lang) || ':' || z.lang, '-') || '/*' else '*' end as cell from z left join zl on z.lang is not distinct from zl.lang)",
-        f"zc as (select cell from zn group by cell having sum(n) >= {min_cell})",
-        "rows as materialized (select x.*, zc.cell from x join zn on x.lang is not distinct from zn.lang and x.source is not distinct from zn.source left join zc on zc.cell = zn.cell)",
-        "fitted as materialized (select * from rows where not base_failed and cell is not null)",
+x as materialized (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, round(ln(1 + n_words::double), 9) as x0, round(ln(greatest(word_chars, 1) / greatest(n_words, 1)), 9) as x1, round(ln(1 + 20 * n_symbols / greatest(n_words, 1)), 9) as x2, round(ln(1 + 10 * n_repeat_words / greatest(n_words, 1)) + ln(1 + 10 * n_dup_lines / greatest(n_lines, 1)), 9) as x3 from s)""",
+        f"rows as materialized (select *, {part('lang')} || '/' || {part('source')} as cell, {part('lang')} || '/*' as pool from x)",
+        "fitted as materialized (" + " union all ".join(f"select {c} as cell, {xs} from rows where not base_failed" for c in ("cell", "pool", "'*'")) + ")",
         "b0 as (" + " union all ".join(f"select cell, {i} as k, floor(x{i} * 64)::int as bin, count(*) as n from fitted group by all" for i in d) + ")",
         "b1 as (select *, sum(n) over (partition by cell, k order by bin) as upto, sum(n) over (partition by cell, k) as total from b0)",
         "b2 as (select cell, k, " + ", ".join(f"(min(bin) filter (upto >= ceil({q} * total)) + 0.5) / 64 as {n}" for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))) + " from b1 group by cell, k)",
-        "e0 as (select cell, " + ", ".join(f"max(q2) filter (k = {i}) as m{i}" for i in d) + ", " + ", ".join(f"max(pow((q3 - q1) / 1.349, 2) + {FLOORS[i] ** 2!r}) filter (k = {i}) as c{i}{i}" if i == j else f"0.0::double as c{j}{i}" for j, i in pairs) + " from b2 group by cell)",
+        "s0 as materialized (select cell, 0 as start, " + ", ".join(f"max(q2) filter (k = {i}) as m{i}" for i in d) + ", " + ", ".join(f"max(pow((q3 - q1) / 1.349, 2) + {FLOORS[i] ** 2!r}) filter (k = {i}) as c{i}{i}" if i == j else f"0.0::double as c{j}{i}" for j, i in PAIRS) + " from b2 group by cell)",
     ]
 
-    def distances(estimate: str, rows: str, name: str) -> None:
-        columns = [*(f"m{i}" for i in d), *(f"c{j}{i}" for j, i in pairs)]
+    def factor(estimate: str, name: str) -> str:
         last = estimate
         for j in d:
             own = f"sqrt(greatest(c{j}{j}" + "".join(f" - l{k}{j} * l{k}{j}" for k in range(j)) + ", 1e-12))"
@@ -229,22 +252,47 @@ z as (select lang, source, count(*) as n from x group by all)""",
             if below:
                 ctes.append(f"{name}g{j} as (select *, {below} from {last})")
                 last = f"{name}g{j}"
-        ctes.append(f"{name}h as (select r.*, {', '.join(c for c in [*(f'e.m{i}' for i in d), *(f'e.l{j}{i}' for j, i in pairs)])} from {rows} r left join {last} e on r.cell = e.cell)")
+        return last
+
+    def distances(estimate: str, rows: str, name: str) -> None:
+        kept = [*means, *(f"l{j}{i}" for j, i in PAIRS)]
+        ctes.append(f"{name}h as (select r.*, e.start, {', '.join(f'e.{c}' for c in kept)} from {rows} r left join {factor(estimate, name)} e on r.cell = e.cell)")
         last = f"{name}h"
         for i in d:
             ctes.append(f"{name}z{i} as (select *, (x{i} - m{i}" + "".join(f" - l{j}{i} * z{j}" for j in range(i)) + f") / l{i}{i} as z{i} from {last})")
             last = f"{name}z{i}"
-        ctes.append(f"{name} as materialized (select * exclude ({', '.join([*columns[:len(d)], *(f'l{j}{i}' for j, i in pairs)])}), {' + '.join(f'z{i} * z{i}' for i in d)} as d2 from {last})")
-
+        ctes.append(f"{name} as materialized (select * exclude ({', '.join(kept)}), {' + '.join(f'z{i} * z{i}' for i in d)} as d2 from {last})")
+
+    def estimate(name: str, rows: str, start: str, scale: float = 1.0) -> None:
+        own = ", ".join([*(f"avg(x{i}) as m{i}" for i in d), *(f"{scale} * (avg(x{i} * x{j}) - avg(x{i}) * avg(x{j})){f' + {FLOORS[i] ** 2!r}' if i == j else ''} as c{j}{i}" for j, i in PAIRS)])
+        ctes.append(f"{name} as materialized (select cell, {start} as start, {own} from {rows} group by all)")
+
+    def nearest(estimate: str, share: float, name: str) -> None:
+        distances(estimate, "fitted", f"{name}n")
+        ctes.append(f"{name}o as materialized (select cell, start, {xs}, floor(16 * log2(greatest(d2, 1e-6)))::int as bin from {name}n)")
+        ctes.append(f"{name}p as (select cell, start, bin, sum(count(*)) over (partition by cell, start order by bin) as upto, sum(count(*)) over (partition by cell, start) as total from {name}o group by cell, start, bin)")
+        ctes.append(f"{name}q as (select cell, start, min(bin) as top from {name}p where upto >= ceil({share} * total) group by cell, start)")
+        ctes.append(f"{name} as (select o.* from {name}o o join {name}q q on o.cell = q.cell and o.start = q.start and o.bin <= q.top)")
+
+    estimate("s1", "fitted", "1")
+    nearest("s0", 0.5, "half")
+    estimate("s2", "half", "2")
+    ctes.append("e0 as materialized (" + " union all ".join(f"select cell, start, {', '.join(means + moments)} from s{n}" for n in range(3)) + ")")
     for step in range(steps):
-        scale = CONSISTENCY if step == steps - 1 else 1.0
-        distances(f"e{step}", "fitted", f"n{step}")
-        ctes.append(f"o{step} as materialized (select cell, {', '.join(f'x{i}' for i in d)}, floor(16 * log2(greatest(d2, 1e-6)))::int as bin from n{step})")
-        ctes.append(f"p{step} as (select cell, bin, sum(count(*)) over (partition by cell order by bin) as upto, sum(count(*)) over (partition by cell) as total from o{step} group by cell, bin)")
-        ctes.append(f"q{step} as (select cell, min(bin) as top from p{step} where upto >= ceil({SUPPORT} * total) group by cell)")
-        moments = ", ".join([*(f"avg(x{i}) as m{i}" for i in d), *(f"{scale} * (avg(x{i} * x{j}) - avg(x{i}) * avg(x{j})){f' + {FLOORS[i] ** 2!r}' if i == j else ''} as c{j}{i}" for j, i in pairs)])
-        ctes.append(f"e{step + 1} as materialized (select o.cell, {moments} from o{step} o join q{step} q on o.cell = q.cell and o.bin <= q.top group by o.cell)")
-    distances(f"e{steps}", "rows", "judged")
+        nearest(f"e{step}", SUPPORT, f"t{step}")
+        estimate(f"e{step + 1}", f"t{step}", "start", CONSISTENCY if step == steps - 1 else 1.0)
+    size = "round(" + " + ".join(f"2 * ln(l{i}{i})" for i in d) + ", 6)"
+    ctes.append(f"ranked as (select *, row_number() over (partition by cell order by {size}, start) as nth from {factor(f'e{steps}', 'last')})")
+    ctes.append(f"found as materialized (select r.*, n from ranked r join (select cell, count(*) as n from fitted group by cell) c on c.cell = r.cell where nth = 1)")
+
+    def mixed(name: str, own: str, other: str) -> None:
+        w = f"(o.n / (o.n + {PRIOR}.0::double))"
+        parts = [*(f"{w} * o.m{i} + (1 - {w}) * p.m{i} as m{i}" for i in d), *(f"{w} * o.c{j}{i} + (1 - {w}) * p.c{j}{i} + {w} * (1 - {w}) * (o.m{i} - p.m{i}) * (o.m{j} - p.m{j}) as c{j}{i}" for j, i in PAIRS)]
+        ctes.append(f"{name} as materialized (select o.cell, 0 as start, {', '.join(parts)} from ({own}) o join {other} p on p.cell = o.pool)")
+
+    mixed("pools", "select *, '*' as pool from found where ends_with(cell, '/*')", "found")
+    mixed("cells", "select f.*, r.pool from found f join (select distinct cell, pool from rows) r on r.cell = f.cell", "pools")
+    distances("cells", "rows", "judged")
     return "with " + ",\n".join(ctes) + f"\nselect doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2, 0) <= {CUTOFF} as kept from judged"
 
 
