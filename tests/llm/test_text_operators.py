@@ -344,3 +344,27 @@ def test_licence_templates_of_few_words(make_docs):
     assert [r.doc_id for r in license_scan.scan(make_docs(rows), (("all", "All rights reserved"),)).collect()] == [1]
     with pytest.raises(ValueError, match="few"):
         license_scan.scan(make_docs(rows), (("mit", "MIT License"),))
+
+
+def test_bands_retrieve_as_if_all_windows_were_hashed(spark, make_docs):
+    """Candidates by the templates' least shingles are those that a full comparison of minima finds; verification then leaves exact containment."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(30)]
+    templates = tuple((f"t{i}", " ".join(rng.choice(common) for _ in range(rng.randrange(3, 40)))) for i in range(25))
+    rows = []
+    for i in range(60):
+        words = dict(templates)[f"t{i % 25}"].split()
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice(common)
+        rows.append((i, " ".join([rng.choice(common) for _ in range(rng.randrange(50))] + words + [rng.choice(common) for _ in range(rng.randrange(50))])))
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.scan(make_docs(rows), templates).collect()}
+    shingles = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = {}
+    for i, text in rows:
+        w = text.split()
+        for name, template in templates:
+            own, c = shingles(template.split()), license_scan.length_class(len(template.split()))
+            best = max(len(own & shingles(w[k : k + 2 * c])) / len(own) for k in range(0, len(w), c))
+            if best >= 0.8 - 1e-9:
+                want[i, name] = round(best, 6)
+    assert got == want and len(want) > 40

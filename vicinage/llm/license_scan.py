@@ -6,9 +6,9 @@ every passage of up to c words lies whole in a window.
 
 A window that holds the wanted 80 % of a template's shingles has a Jaccard similarity of at least 0.18 to the template (its share of
 at most 2c shingles). With ``BANDS`` = 64 bands of one row it shares a band with a probability above
-1 - (1 - 0.18)**64 > 0.999996. For templates of three words, a single shingle of up to six, it is 1 - (5/6)**64 > 0.99999. A band of one row can only be shared by a window that has one of the template's shingles, and a match
-needs 80 % of them; windows with fewer hits than the smallest template of their class needs are therefore not
-hashed. That filter is exact: it drops no window that could match. Candidates are then verified on the full sets of shingles.
+1 - (1 - 0.18)**64 > 0.999996. For templates of three words, a single shingle of up to six, it is 1 - (5/6)**64 > 0.99999. A band of one row can only be shared by a window that holds the template's least shingle in that band, so the bands are evaluated from that side: only windows that hold
+any such shingle of a template of their class (some 64 at most for each template) get their own minima, and they are candidates if they share a band.
+Exactly the pairs come out that would if all windows were hashed. Candidates are then verified on the full sets of shingles.
 
 The templates are a list in this module or the caller's, of at most ``MAX_TEMPLATES``; only they are broadcast. A document's windows are made within its row: documents aren't shuffled
 before they match, and a hot source is like any other.
@@ -25,7 +25,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import load
+from ._store import load, table
 
 SHINGLE, BANDS, PERCENT, MAX_TEMPLATES = 3, 64, 80, 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,6 +75,8 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...])
     """``license, class, shingles`` (distinct hashes)."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are broadcast")
+    if len({name for name, _ in templates}) < len(templates):
+        raise ValueError("templates have one name each")
     rows = [(name, words, length_class(len(words))) for name, text in templates for words in [template_words(text)]]
     if short := [name for name, words, _ in rows if len(words) < SHINGLE]:
         raise ValueError(f"templates of fewer than {SHINGLE} words can't be shingled: {short}")
@@ -83,26 +85,31 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...])
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """``doc_id, license, first_word, containment``."""
-    spark = docs.sparkSession
-    library = template_table(spark, templates)
-    # The templates' hashes become a literal set within the scan of the texts: their number is bounded.
-    known = library.select("class", "template").collect()
-    literals = ", ".join(f"{x}L" if x != -(1 << 63) else "(-9223372036854775807L - 1L)" for x in sorted({x for r in known for x in r.template})) or "0L"
-    least: dict[int, int] = {}
-    for r in known:
-        need = -(-percent * len(r.template) // 100)
-        least[r["class"]] = min(least.get(r["class"], need), need)
+    library = template_table(docs.sparkSession, templates)
+    # The least shingle of each template in each band, by class: their number is bounded, as that of the templates is.
+    least = library.withColumn("m", F.expr(_minima("template"))).select("class", "m", F.expr(_once("template", "u", f"transform(sequence(0, {BANDS - 1}), j -> filter(u, x -> xxhash64(x, j) = m[j])[0])")).alias("x")).collect()
+    of_class: dict[int, set[int]] = {}
+    for r in least:
+        of_class.setdefault(r["class"], set()).update(r.x)
     words = docs.select("doc_id", F.filter(F.split(F.translate("text", UPPER, LOWER), NOT_WORD), lambda x: x != "").alias("w"))
-    hits = words.withColumn("hit", F.expr(_once("w", "u", f"if(size(u) < {SHINGLE}, cast(array() as array<int>), filter(sequence(0, size(u) - {SHINGLE}), i -> xxhash64(get(u, i), get(u, i + 1), get(u, i + 2)) in ({literals})))"))).where("size(hit) > 0")
-    of_class = _once("hit", "u", "array(" + ", ".join(
-        f"named_struct('class', {c}, 'at', filter(array_distinct(flatten(transform(u, p -> array(p div {c} - 1, p div {c})))), k -> k >= 0 and size(filter(u, p -> p >= k * {c} and p <= k * {c} + {2 * c - SHINGLE})) >= {n}))" for c, n in sorted(least.items())
-    ) + ")")
-    windows = hits.select("doc_id", "w", F.explode(F.expr(of_class)).alias("s")).select("doc_id", "w", "s.class", F.explode("s.at").alias("k"))
-    window = windows.select("doc_id", "class", "k", F.expr("slice(w, cast(k * class as int) + 1, 2 * class)").alias("v")).withColumn("shingles", F.expr(_shingles("v"))).where("size(shingles) > 0")
-    bands = window.select("doc_id", "class", "k", "shingles", F.posexplode(F.expr(_minima("shingles"))).alias("band", "value"))
-    template_bands = library.select("license", "class", "template", F.posexplode(F.expr(_minima("template"))).alias("band", "value"))
-    candidates = bands.join(F.broadcast(template_bands), ["class", "band", "value"]).select("doc_id", "license", "k", "class", "shingles", "template").dropDuplicates(["doc_id", "license", "k"])
-    found = candidates.withColumn("common", F.size(F.array_intersect("template", "shingles"))).where(F.expr(f"100 * common >= {percent} * size(template)"))
+    hashed = lambda u, i: F.xxhash64(F.get(u, i), F.get(u, i + 1), F.get(u, i + 2))
+    every = sorted(set().union(*of_class.values())) or [0]
+    # ``once`` binds an array: it is then computed once and not for every element of an inner function.
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    found_in = lambda u: F.filter(F.transform(F.sequence(F.lit(0), F.size(u) - SHINGLE), lambda i: F.struct(i.alias("i"), hashed(u, i).alias("x"))), lambda s: s["x"].isin(every))
+    hits = words.withColumn("hit", once(F.col("w"), lambda u: F.when(F.size(u) >= SHINGLE, found_in(u)))).where("size(hit) > 0")
+    # Windows k of a class start at word k c and hold the shingles up to word k c + 2 c - 3.
+    own = lambda c, s: F.filter(F.array(F.floor(s["i"] / c).cast("int") - 1, F.floor(s["i"] / c).cast("int")), lambda k: (k >= 0) & (s["i"] <= k * c + 2 * c - SHINGLE))
+    near = lambda c, h: F.array_distinct(F.flatten(F.transform(F.filter(h, lambda s: s["x"].isin(sorted(of_class[c]))), lambda s: own(c, s))))
+    by_class = once(F.col("hit"), lambda h: F.array(*(F.struct(F.lit(c).alias("class"), near(c, h).alias("at")) for c in sorted(of_class))))
+    windows = hits.select("doc_id", "w", F.explode(by_class).alias("s")).select("doc_id", "w", "s.class", F.explode("s.at").alias("k"))
+    cut = windows.select("doc_id", "class", "k", F.expr("slice(w, cast(k * class as int) + 1, 2 * class)").alias("v")).select("doc_id", "class", "k", F.expr(_shingles("v")).alias("shingles"))
+    window = table(cut.where("size(shingles) > 0").withColumn("window", F.monotonically_increasing_id()), "windows")
+    bands = window.select("window", "class", F.posexplode(F.expr(_minima("shingles"))).alias("band", "value"))
+    template_bands = library.select("license", "class", F.posexplode(F.expr(_minima("template"))).alias("band", "value"))
+    candidates = bands.join(F.broadcast(template_bands), ["class", "band", "value"]).select("window", "license").distinct()
+    both = candidates.join(window, "window").join(F.broadcast(library.select("license", "template")), "license")
+    found = both.withColumn("common", F.size(F.array_intersect("template", "shingles"))).where(F.expr(f"100 * common >= {percent} * size(template)"))
     first = F.expr("k * class + aggregate(transform(template, x -> array_position(shingles, x)), cast(null as bigint), (a, p) -> if(p = 0, a, least(a, p))) - 1")
     return found.groupBy("doc_id", "license").agg(F.min(first).alias("first_word"), F.max(F.round(F.col("common") / F.size("template"), 6)).alias("containment"))
 
