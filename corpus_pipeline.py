@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``documents``. A stage's result
 is written to the shared folder and read again as the next one's documents.
+
+Defined results: null, empty and blank texts are judged by the classifier like others and are kept by every later stage that they reach. Rows with a null id are judged by the classifier and
+leave with the near-duplicate stage, which keeps documents by their id; rows that repeat the id of a kept document all stay, and the passage stage removes nothing from them for being repeated.
+An empty table goes through as an empty table. Other columns are kept, whatever their names, up to the mixture, which returns its schedule.
 """
 
 from __future__ import annotations
