@@ -339,7 +339,8 @@ def capture_histories(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, fan_
         # Equal shares of the runs: the order of names, all that is sorted here, is as good as any.
         numbered = parts.select("run").distinct().select("run", (F.ntile(-(-n_runs // fan_in)).over(Window.orderBy("run")) - 1).alias("g"))
         parts = table(arrow_map(tasks(numbered), _merge_pass_task(folder, cut_every), PART), "runs")
-    last = tasks(parts.select("run", F.lit(0).alias("g")).distinct())
+    # Written, so that the plan joins on the group; on a constant it would be a product.
+    last = tasks(table(parts.select("run").distinct().withColumn("g", F.lit(0)), "groups"))
     schema = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, merge_range int, merge_place long"
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "merge_range", "merge_place")
     return arrow_map(last, _merge_last_task(folder), schema).select(*columns)
