@@ -1,9 +1,13 @@
+import tracemalloc
+
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vicinage.llm import minhash_dedup, suffix_dedup
+from vicinage.llm._store import arrow_map
 
 
 @pytest.mark.parametrize("k", [2, 5])
@@ -142,6 +146,62 @@ def test_index_family_levels():
     assert {w: tuple(p) for level in family.levels for w, p in zip(level[0].tolist(), level[1].tolist())} == seen
 
 
+@pytest.mark.parametrize("letters", [2, 20])
+def test_levels_merge_in_pieces(monkeypatch, letters):
+    """Pieces far smaller than the levels: windows known and new, single and in long runs between two of the other level."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 5)
+    rng = np.random.default_rng(4)
+    family, seen, last = suffix_dedup.IndexFamily(20), {}, np.zeros(0, np.uint8)
+    for n, size in enumerate([20, 90, 300, 21, 64, 150, 40, 200]):
+        data = np.concatenate([rng.integers(97, 97 + letters, size), np.full(n * 3, 97), last[-30:]]).astype(np.uint8)
+        last, starts = data, np.arange(len(data) - 19)
+        got = family.add(data, starts, np.stack([np.full(len(starts), n), starts], axis=1))
+        windows = [data[s : s + 20].tobytes() for s in starts]
+        assert got.tolist() == [w in seen or windows.index(w) < s for s, w in enumerate(windows)]
+        for s, w in enumerate(windows):
+            seen.setdefault(w, (n, s))
+    assert {w: tuple(p) for level in family.levels for w, p in zip(level[0].tolist(), level[1].tolist())} == seen
+    assert all((w[1:] > w[:-1]).all() for w, _ in family.levels)
+
+
+def test_a_full_task_resolves_in_little_memory():
+    """Every window of a task's contexts is new: the levels hold all of them."""
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(100, 177, suffix_dedup.OPEN_ROWS)
+    columns = [np.arange(len(sizes)), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int32)]
+    parts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in sizes]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts)], names=["doc_id", "version", "start", "part"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in suffix_dedup._resolve_task(100)(iter([batch]))) == 0
+        assert tracemalloc.get_traced_memory()[1] < 120e6, "twice what it takes, half of what windows in full would"
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_give_memory_back(spark):
+    """Freed arrays between ones that stay, which the C library keeps as holes."""
+
+    def fill(batches):
+        import sys
+
+        arrays = [np.ones(12_500) for _ in range(1500)]
+        sys.stays = arrays[::50]
+        yield from batches
+
+    def look(batches):
+        from pathlib import Path
+
+        for batch in batches:
+            held = int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+            yield pa.RecordBatch.from_arrays([pa.array([held] * batch.num_rows)], names=["id"])
+
+    rows = spark.range(0, 4, 1, 4)
+    before = arrow_map(rows, look, "id long").agg(F.max("id")).first()[0]
+    assert arrow_map(rows, fill, "id long").count() == 4
+    assert arrow_map(rows, look, "id long").agg(F.max("id")).first()[0] < before + 50e6
+
+
 def test_long_texts_in_pieces():
     data = np.random.default_rng(3).integers(97, 100, 5000).astype(np.uint8)
     whole = suffix_dedup.window_anchors(data, np.array([0, 5000]))

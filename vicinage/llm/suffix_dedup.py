@@ -48,6 +48,8 @@ PLACE_BITS = 24
 #: Anchors of a task that are held to settle repeats within it.
 HELD = 1 << 18
 BATCH = 4096
+#: Windows of a level that are spelled out at a time.
+PIECE = 1 << 15
 #: Rows of a shard's task, of a task that resolves, and what makes an anchor hot; at most so many are routed apart, the most frequent.
 SHARD_ROWS, OPEN_ROWS = 1_000_000, 20_000
 SAMPLE_EVERY, HOT, HOT_LISTED = 256, 64, 1 << 17
@@ -231,66 +233,88 @@ def _settle_task(length: int):
 
 class IndexFamily:
     """Suffix arrays in levels of doubling size. ``add`` takes the next batch of texts in corpus order and tells which of their
-    windows occur at an earlier place. A level holds its windows in order, and the first place of each."""
+    windows occur at an earlier place. A level holds the starts of its windows in the bytes of all batches, in the windows' order, and the first place of each;
+    windows of levels are spelled out some ``PIECE`` at a time."""
 
     def __init__(self, length: int = LENGTH):
         self.length = length
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # windows, (document, place)
+        self._bytes = np.zeros(0, np.uint8)
+        self._levels: list[tuple[np.ndarray, np.ndarray]] = []  # starts, (document, place)
+
+    @property
+    def levels(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The levels spelled out: windows, (document, place)."""
+        return [(self._windows(starts), places) for starts, places in self._levels]
 
     def add(self, data: np.ndarray, starts: np.ndarray, place: np.ndarray) -> np.ndarray:
         """``starts``: where the windows are in ``data``; ``place``: their (document, place) as rows of two, ascending. Returns a mark for each."""
-        views = np.lib.stride_tricks.sliding_window_view(data, self.length)[starts]
-        suffixes = np.ascontiguousarray(views).view(f"S{self.length}").reshape(-1)
-        order = self._suffix_array(views, suffixes)
-        ranked = suffixes[order]
-        fresh = np.ones(len(ranked), dtype=bool)
-        fresh[1:] = ranked[1:] != ranked[:-1]
-        distinct, first = ranked[fresh], place[order[fresh]]  # the order is stable: the first of equal windows leads
+        starts = starts + len(self._bytes)
+        self._bytes = np.concatenate([self._bytes, data])
+        order, fresh = self._suffix_array(self._windows(starts))
+        distinct, first = starts[order[fresh]], place[order[fresh]]  # the order is stable: the first of equal windows leads
         known = np.zeros(len(distinct), dtype=bool)
-        for windows, places in self.levels:
-            mine, theirs = self._merge_scan(windows, distinct)
-            known[mine] = True
-            first[mine] = places[theirs]
+        for level, places in self._levels:
+            for mine, theirs in self._merge_scan(level, distinct):
+                known[mine] = True
+                first[mine] = places[theirs]
         seen = np.empty(len(starts), dtype=bool)
         seen[order] = (place[order] != first[np.cumsum(fresh) - 1]).any(axis=1)
         self._insert(distinct[~known], first[~known])
         return seen
 
-    @staticmethod
-    def _suffix_array(views: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
-        """Window order: by the first sixteen bytes as two integers, then ties by all bytes."""
-        heads = np.ascontiguousarray(views[:, :16]).view(">u8").astype(np.uint64)
+    def _windows(self, starts: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self._bytes, self.length)[starts].view(f"S{self.length}").reshape(-1)
+
+    def _suffix_array(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window order: by the first sixteen bytes as two integers, then ties by all bytes. Also a mark, in that order, for the first of equal windows."""
+        heads = suffixes.view(np.uint8).reshape(-1, self.length)[:, :16].copy().view(">u8").astype(np.uint64)
         order = np.lexsort((heads[:, 1], heads[:, 0]))
         same = (heads[order[1:]] == heads[order[:-1]]).all(axis=1)
         tied = np.zeros(len(order), dtype=bool)
         tied[1:] |= same
         tied[:-1] |= same
         places = np.flatnonzero(tied)
+        fresh = np.ones(len(order), dtype=bool)
         if len(places):
             within = order[places]
-            order[places] = within[np.argsort(suffixes[within], kind="stable")]
-        return order
-
-    @staticmethod
-    def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two ordered arrays as one: the stable sort finds both runs and merges them in one pass. Also the order."""
-        both = np.concatenate([a, b])
-        order = np.argsort(both, kind="stable")
-        return both[order], order
-
-    def _merge_scan(self, level: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order[places] = within = within[np.argsort(suffixes[within], kind="stable")]
+            ranked = suffixes[within]  # equal windows are tied, so they stand side by side here too
+            fresh[places[1:]] = ranked[1:] != ranked[:-1]
+        return order, fresh
+
+    def _below(self, level: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """How many windows of a level come before each of these."""
+        low, high = np.zeros(len(windows), np.int64), np.full(len(windows), len(level))
+        while (low < high).any():
+            middle = (low + high) // 2
+            less = (low < high) & (self._windows(level[np.minimum(middle, len(level) - 1)]) < windows)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        return low
+
+    def _merged(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The merged order of two levels, as places in ``a`` followed by ``b``, and the windows in that order, piece by piece. Equal windows are in one piece.
+        The stable sort finds both runs of a piece and merges them in one pass."""
+        cuts, other = np.arange(PIECE, len(a), PIECE), np.arange(PIECE, len(b), PIECE)
+        at = np.sort(np.concatenate([[0], cuts, self._below(a, self._windows(b[other])), [len(a)]]))
+        to = np.sort(np.concatenate([[0], self._below(b, self._windows(a[cuts])), other, [len(b)]]))
+        for i, k, j, m in zip(at[:-1], at[1:], to[:-1], to[1:]):
+            both = np.concatenate([self._windows(a[i:k]), self._windows(b[j:m])])
+            order = np.argsort(both, kind="stable")
+            yield np.concatenate([np.arange(i, k), np.arange(j, m) + len(a)])[order], both[order]
+
+    def _merge_scan(self, level: np.ndarray, batch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places in the batch and in the level of windows that both have: neighbours in the merged order."""
-        merged, order = self._merged(level, batch)
-        at = np.flatnonzero(merged[1:] == merged[:-1])
-        return order[at + 1] - len(level), order[at]
-
-    def _insert(self, windows: np.ndarray, places: np.ndarray) -> None:
-        if len(windows):
-            self.levels.append((windows, places))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (small, new), (large, old) = self.levels.pop(), self.levels.pop()
-            merged, order = self._merged(large, small)
-            self.levels.append((merged, np.concatenate([old, new])[order]))
+        for order, merged in self._merged(level, batch):
+            at = np.flatnonzero(merged[1:] == merged[:-1])
+            yield order[at + 1] - len(level), order[at]
+
+    def _insert(self, starts: np.ndarray, places: np.ndarray) -> None:
+        if len(starts):
+            self._levels.append((starts, places))
+        while len(self._levels) > 1 and len(self._levels[-2][0]) <= 2 * len(self._levels[-1][0]):
+            (small, new), (large, old) = self._levels.pop(), self._levels.pop()
+            order = np.concatenate([o for o, _ in self._merged(large, small)])
+            self._levels.append((np.concatenate([large, small])[order], np.concatenate([old, new])[order]))
 
 
 def _resolve_task(length: int):
