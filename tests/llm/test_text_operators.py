@@ -282,6 +282,21 @@ def test_recall_at_every_length(percent, where):
         assert recall == 1 if percent == 0 or n_words < decontaminate.SHORT else recall >= 0.95, n_words  # at most one of 24
 
 
+@pytest.mark.parametrize("where", ["spread", "even"])
+@pytest.mark.parametrize("n_words", [19, 20, 35, 67, 150])
+def test_no_item_is_missed(monkeypatch, n_words, where):
+    """As many edits as allowed, in the lengths that walks find hardest; also if few words are compared at a time."""
+    rng = random.Random(3)
+    items = [[f"w{rng.randrange(5000)}" for _ in range(n_words)] for _ in range(300)]
+    documents = [["x"] * rng.randrange(40) + edited(rng, i, 20, where) + ["y"] * rng.randrange(40) for i in items]
+    got = found_in(items, documents)
+    assert {(k, k) for k in range(300)} <= set(got)
+    for k in range(0, 300, 50):
+        assert got[k, k] == brute.edit_distance_within(items[k], documents[k])
+    monkeypatch.setattr(decontaminate, "VERIFIED", 1)
+    assert found_in(items[:40], documents[:40]) == {(d, i): v for (d, i), v in got.items() if d < 40 and i < 40}
+
+
 def test_repetitions_reach_their_target():
     assert decontaminate.repetitions(0) == 1 <= decontaminate.repetitions(10) <= decontaminate.repetitions(20) <= 4
     with pytest.raises(ValueError):

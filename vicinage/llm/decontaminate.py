@@ -14,14 +14,14 @@ Sampling is repeated until it reaches ``TARGET``: ``repetitions`` embeds, for ea
 spread (the hardest place for them), and adds walks of ``TABLES`` samples each until that share of the items meets a key of its copy. At 20 % that is three walks. If ``MOST_WALKS`` don't
 reach it, that is an error.
 
-Items of fewer than ``SHORT`` words, whose walks may all end before their last place, are looked up exactly instead: cut into one piece more than
-the allowed distance, at least one piece of such an item is left intact by any allowed edits, and each piece is looked up at every word of
-the documents. No part within the distance is missed (for ``percent`` below 100); from ``SHORT`` words on, verbatim passages always share a key.
+Walks alone miss about one in a hundred of the items with as many edits as allowed, and those of items of fewer than ``SHORT`` words may all end before their last place. So every item is looked up exactly, too: cut into one piece more than
+the allowed distance, at least one piece of an item is left intact by any allowed edits, and each piece (the first ``SHORT`` - 1 words of longer ones) is looked up at every word of
+the documents. No part within the distance is missed (for ``percent`` below 100).
 
 Documents' windows start at every ``STRIDE``-th word and items' windows at each of their words, so whatever the place
 of a passage and wherever it is edited, each of its windows stands opposite one of the item's, and a stretch left intact anywhere
 in the item can give a candidate. Keys of items are in a sorted array behind a small bitmap. Each candidate is then verified by the exact edit distance of the whole item to the best part of
-the document around it. ``tests/llm`` measures recall for items of 1 to 300 words: 1 for verbatim ones, at least 0.95 at one and two edits in ten words, spread or at either end.
+the document around it, ``VERIFIED`` words at a time. ``tests/llm`` measures recall for items of 1 to 300 words: 1 with no, one and two edits in ten words, spread or at either end.
 
 Items go to the executors in blocks of at most ``BLOCK_WORDS`` words; the plan holds their texts (some 0.6 MB a block), and a Python worker makes a block's keys once and keeps
 those of one block, so nothing unbounded is broadcast; a larger benchmark is a pass over the documents for each block. A key that many items share, as a common question's stem, is expanded ``EXPANDED``
@@ -49,7 +49,7 @@ from ._store import arrow_map, ids, load
 PERCENT = 20
 STRIDE, SCALES, TABLES, SAMPLED = 4, (16, 32, 64), 3, 4
 TARGET, MOST_WALKS, TRIALS = 0.99, 24, 400
-#: Items below this many words are looked up by pieces.
+#: Items below this many words are looked up by pieces only; pieces are shorter than that.
 SHORT = STRIDE + SCALES[0] - 1
 BLOCK_WORDS = 100_000
 BITMAP_BITS = 22
@@ -57,6 +57,8 @@ BITMAP_BITS = 22
 SIDE_BY_SIDE = 1 << 15
 #: Candidates verified at a time.
 EXPANDED = 1 << 16
+#: Words around candidates of an item that are compared with its own at a time.
+VERIFIED = 1 << 20
 SEPARATORS = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     SEPARATORS[_a:_b] = False
@@ -161,8 +163,8 @@ class Items:
     keys: np.ndarray  # sorted
     item: np.ndarray  # for each key its item
     offset: np.ndarray  # and the word of the item at which the window or piece starts
-    lengths: list[int]  # of the pieces of short items
-    scales: list[int]  # of the windows of the others
+    lengths: list[int]  # of the pieces
+    scales: list[int]  # of the windows of items that are not short
     walks: int
 
     @classmethod
@@ -181,10 +183,10 @@ class Items:
             for k, ok in keys(tokens, ends[item[rows]] + offset[rows], walks, (scale,)):
                 found.append((k[ok], item[rows][ok], offset[rows][ok]))
         pieces = []
-        for i in np.flatnonzero((scales == 0) & (np.diff(bounds) > 0)).tolist():
+        for i in np.flatnonzero(np.diff(bounds) > 0).tolist():
             n = int(bounds[i + 1] - bounds[i])
             cuts = np.arange((many := min(percent * n // 100 + 1, n)) + 1) * n // many
-            pieces += [(i, a, b - a) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            pieces += [(i, a, min(b - a, SHORT - 1)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         of, at, long = np.array(pieces, np.int32).reshape(-1, 3).T
         lengths = sorted(set(long.tolist()))
         for n, k in piece_keys(tokens, lengths):
@@ -234,7 +236,7 @@ def _candidates(keyed: Iterator[tuple[np.ndarray, np.ndarray]], items: Items) ->
 
 
 def _all_candidates(tokens: np.ndarray, starts: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The candidates for short items by their pieces, then for the others by windows, some windows at a time."""
+    """The candidates by pieces, then those by windows, some windows at a time."""
     yield from _candidates(((k, np.arange(len(k))) for _, k in piece_keys(tokens, items.lengths)), items)
     if not items.scales:
         return
@@ -245,6 +247,17 @@ def _all_candidates(tokens: np.ndarray, starts: np.ndarray, items: Items) -> Ite
         yield from _candidates(((k[ok], some[ok]) for k, ok in keys(part, some - some[0], items.walks, items.scales)), items)
 
 
+def _shared(tokens: np.ndarray, wanted: np.ndarray, first: np.ndarray, last: np.ndarray, allowed: int) -> np.ndarray:
+    """The number of words, each as often as both have it, that an item and each of some parts of the texts have in common."""
+    own, often = np.unique(wanted, return_counts=True)
+    span = first[:, None] + np.arange(len(wanted) + 2 * allowed)
+    near = tokens[np.minimum(span, len(tokens) - 1)]
+    which = np.minimum(np.searchsorted(own, near), len(own) - 1)
+    row, _ = same = np.nonzero((own[which] == near) & (span < last[:, None]))
+    held = np.bincount(row * len(own) + which[same], minlength=len(first) * len(own)).reshape(len(first), len(own))
+    return np.minimum(held, often).sum(axis=1)
+
+
 def find(data: np.ndarray, offsets: np.ndarray, items: Items, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
     """(text, item, distance, end word) of the items in each text of a block."""
     words, bounds = word_hashes(data, offsets, separators=SEPARATORS)
@@ -266,13 +279,8 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, percent: int = PER
             first = np.maximum(ends[of], begin - allowed)
             last = np.minimum(ends[of + 1] - 1, begin + len(wanted) + allowed)
             # Words in common, each as often as both have it, at least as many as an allowed distance leaves, come before the exact distance.
-            own, often = np.unique(wanted, return_counts=True)
-            span = first[:, None] + np.arange(len(wanted) + 2 * allowed)
-            near = tokens[np.minimum(span, len(tokens) - 1)]
-            which = np.minimum(np.searchsorted(own, near), len(own) - 1)
-            row, _ = same = np.nonzero((own[which] == near) & (span < last[:, None]))
-            held = np.bincount(row * len(own) + which[same], minlength=len(first) * len(own)).reshape(len(first), len(own))
-            shared = np.minimum(held, often).sum(axis=1)
+            step = max(1, VERIFIED // (len(wanted) + 2 * allowed))
+            shared = np.concatenate([_shared(tokens, wanted, first[c : c + step], last[c : c + step], allowed) for c in range(0, len(first), step)])
             for c in np.flatnonzero(shared >= len(wanted) - allowed).tolist():
                 d = int(of[c])
                 known = best.get((d, i), (1, 0))
