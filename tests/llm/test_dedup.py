@@ -179,6 +179,19 @@ def test_a_full_task_resolves_in_little_memory():
         tracemalloc.stop()
 
 
+def test_anchors_of_a_long_text_take_little_memory():
+    data = np.random.default_rng(8).integers(97, 100, 3 << 20).astype(np.uint8)
+    columns = [pa.array([1]), pa.array([0]), pa.array([data.tobytes().decode()])]
+    tracemalloc.start()
+    try:
+        found = list(suffix_dedup._anchors(iter([pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "text"])]), 100))
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    windows = np.concatenate([np.arange(a + lo, a + hi + 1) for f in found for a, lo, hi in zip(f["at"], f["low"], f["high"])])
+    assert np.array_equal(np.sort(windows), np.arange(len(data) - 99))
+
+
 def test_workers_give_memory_back(spark):
     """Freed arrays between ones that stay, which the C library keeps as holes."""
 

@@ -45,6 +45,8 @@ from ._store import arrow_map, ids, load, partitions, table
 LENGTH, GRAM = 100, 24
 #: Places within a block are kept in the low bits of the hash that is minimised.
 PLACE_BITS = 24
+#: Bytes of texts looked at together, and of a piece of a longer text; a byte takes some 80 bytes of work.
+BLOCK, LONGEST = 1 << 18, 1 << 19
 #: Anchors of a task that are held to settle repeats within it.
 HELD = 1 << 18
 BATCH = 4096
@@ -176,14 +178,14 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray | N
     """Anchors of rows ``doc_id, version, text``, block by block."""
     for batch in batches:
         doc_ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for a, b, data, offsets in text_blocks(batch.column(2)):
+        for a, b, data, offsets in text_blocks(batch.column(2), BLOCK):
             for found in _in_pieces(data, offsets, length, hot=hot):
                 row = found.pop("row")
                 if len(row):
                     yield {**found, "doc": doc_ids[a:b][row], "version": versions[a:b][row]}
 
 
-def _in_pieces(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = 1 << (PLACE_BITS - 1), hot: np.ndarray | None = None) -> Iterator[dict[str, np.ndarray]]:
+def _in_pieces(data: np.ndarray, offsets: np.ndarray, length: int, limit: int = LONGEST, hot: np.ndarray | None = None) -> Iterator[dict[str, np.ndarray]]:
     """Anchors of a block; a single text longer than ``limit`` goes through in pieces that overlap by a window less one byte."""
     if len(data) <= limit:
         yield window_anchors(data, offsets, length, hot=hot)
