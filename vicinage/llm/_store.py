@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.memory import release
 from ..sources.shipping import ship
 from ..sources.tables import dropped as drop_table
 from ..sources.tables import saved as table
@@ -38,13 +38,6 @@ def ids(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull())
 
 
-def release() -> None:
-    """Gives freed memory back to the machine: workers stay for the tasks of later stages, and one that idles would keep all that it ever held."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow``, after this package has been sent to the executors once for each application. Workers give back a task's memory at its end."""
     ship(df.sparkSession)
